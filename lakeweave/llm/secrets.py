@@ -81,15 +81,26 @@ def labelled_samples(docs: DataFrame, per_class: int = 4000, sample_docs: int =
 
 
 #: Ordinary identifiers of program text.
-STOCK = [
-    "get_user_account_by_identifier", "applicationConfigurationManager", "maximum_number_of_connections", "content-security-policy",
-    "DEFAULT_CONNECTION_TIMEOUT", "createReadableStreamFromResponse", "request_handler_registration", "numberOfRetriesRemaining",
-    "transaction-isolation-level", "src/main/resources/application", "InternationalizationService", "usr/local/share/documentation",
-]
-
-
-def train_markov(samples: DataFrame, smooth: float = 0.5) -> MarkovModel:
-    """Transition scores from (token, random); at most 2 x 9025 counts reach the driver."""
+STOCK = """
+get_user_account_by_identifier applicationConfigurationManager maximum_number_of_connections_per_host content-security-policy
+DEFAULT_CONNECTION_TIMEOUT createReadableStreamFromResponse request_handler_registration numberOfRetriesRemaining
+transaction-isolation-level src/main/resources/application InternationalizationService usr/local/share/documentation
+validate_certificate_chain MAX_BUFFER_SIZE_IN_BYTES parseQueryParameters should_return_empty_list_when_missing
+org/example/project/internal background-color-transition updateCustomerShippingAddress is_feature_flag_enabled
+AbstractDatabaseConnectionFactory write_temporary_file_to_disk image-processing-pipeline-worker resolveDependencyVersions
+compute_weighted_average_score HTTP_STATUS_NOT_FOUND home/developer/workspace/service serializeObjectToString
+previous_month_revenue_total enable-experimental-feature ThreadPoolExecutorService check_file_permissions_before_open
+convertTimestampToLocalDate lib/python/site-packages/module number_of_active_sessions generateRandomIdentifier
+remote-procedure-call-handler UNIT_TEST_COVERAGE_REPORT calculateMonthlyPayment test_case_with_invalid_argument
+getElementsByClassName horizontal_scroll_position virtual-machine-configuration initialize_logging_framework
+""".split()
+
+
+def train_markov(samples: DataFrame, backoff: float = 20.0) -> MarkovModel:
+    """Transition scores from (token, random); at most 2 x 9025 counts reach the driver.
+
+    A row of a table leans on its class's character frequencies with the weight of `backoff` pairs.
+    """
     pairs = samples.where(F.length("token") >= 2).select(
         "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, 2))).alias("pair")
     )
@@ -100,10 +111,12 @@ def train_markov(samples: DataFrame, smooth: float = 0.5) -> MarkovModel:
         counts[r["random"]][(r["a"] - FIRST, r["b"] - FIRST)] = r["count"]
     tables = {}
     for label, own in counts.items():
-        total = [0] * SIDE
-        for (a, _), n in own.items():
+        total, second = [0] * SIDE, [0.5] * SIDE
+        for (a, b), n in own.items():
             total[a] += n
-        tables[label] = [math.log((own.get((a, b), 0) + smooth) / (total[a] + smooth * SIDE)) for a in range(SIDE) for b in range(SIDE)]
+            second[b] += n
+        base = [x / sum(second) for x in second]
+        tables[label] = [math.log((own.get((a, b), 0) + backoff * base[b]) / (total[a] + backoff)) for a in range(SIDE) for b in range(SIDE)]
     return MarkovModel(tuple(x - y for x, y in zip(tables[True], tables[False], strict=True)))
 
 
