@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .licenses import op7_licenses
 from .secrets import op6_secrets
 
 QUERIES = {
     "op6_secrets": op6_secrets,
+    "op7_licenses": op7_licenses,
 }
 
 ORACLE: dict[str, str] = {}

@@ -49,7 +49,7 @@ def labelled_samples(docs: DataFrame, per_class: int = 4000, sample_docs: int =
 
     Random strings are digests of a counter. Identifiers join neighbouring ASCII words of the
     `sample_docs` documents with the smallest text hash (a documented bound; the pair tables have
-    9025 cells), as snake_case, kebab-case, camelCase and plain words.
+    9025 cells), as snake_case, kebab-case, camelCase and paths, each once.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -65,7 +65,7 @@ def labelled_samples(docs: DataFrame, per_class: int = 4000, sample_docs: int =
     picked = docs.select("text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), "text").limit(sample_docs)
     words = picked.select(F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) > 1).alias("w"))
     triple = F.expr("transform(sequence(1, greatest(size(w) - 2, 1), 3), i -> slice(w, i, 3))")
-    parts = words.where(F.size("w") >= 3).select(F.explode(triple).alias("p")).where(F.size("p") == 3)
+    parts = words.where(F.size("w") >= 3).select(F.explode(triple).alias("p")).where(F.size("p") == 3).distinct()
     style = F.abs(F.xxhash64("p")) % 4
     plain = parts.select(
         F.when(style == 0, F.lower(F.concat_ws("_", "p")))
