@@ -8,6 +8,7 @@ the number of rows in an Arrow batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,6 +59,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, so that its size is known to the planner."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---------------------------------------------------------------- word finding
 
 _SEPARATOR = np.zeros(256, bool)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .licenses import op7_licenses
+from .mixing import op3_mixing
 from .secrets import op6_secrets
+from .sharding import op9_sharding
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE: dict[str, str] = {}
