@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op10_language
 from .licenses import op7_licenses
 from .mixing import op3_mixing
 from .secrets import op6_secrets
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
     "op9_sharding": op9_sharding,
+    "op10_language": op10_language,
 }
 
 ORACLE: dict[str, str] = {}
