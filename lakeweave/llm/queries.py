@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .language import op10_language
+from .lattice import op2_lattice
 from .licenses import op7_licenses
 from .mixing import op3_mixing
 from .secrets import op6_secrets
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op2_lattice": op2_lattice,
     "op3_mixing": op3_mixing,
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
