@@ -6,6 +6,7 @@ from .language import op10_language
 from .lattice import op2_lattice
 from .licenses import op7_licenses
 from .mixing import op3_mixing
+from .ngram_join import op8_ngram_join
 from .secrets import op6_secrets
 from .sharding import op9_sharding
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
+    "op8_ngram_join": op8_ngram_join,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
 }
