@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .knn_join import op1_knn_join
 from .language import op10_language
 from .lattice import op2_lattice
 from .licenses import op7_licenses
+from .line_dedup import op5_line_dedup
 from .mixing import op3_mixing
 from .ngram_join import op8_ngram_join
 from .secrets import op6_secrets
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op1_knn_join": op1_knn_join,
     "op2_lattice": op2_lattice,
     "op3_mixing": op3_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
     "op8_ngram_join": op8_ngram_join,
