@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
 from .knn_join import op1_knn_join
 from .language import op10_language
 from .lattice import op2_lattice
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_knn_join": op1_knn_join,
     "op2_lattice": op2_lattice,
     "op3_mixing": op3_mixing,
+    "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_secrets": op6_secrets,
     "op7_licenses": op7_licenses,
