@@ -309,14 +309,17 @@ def _open_pairs(live: DataFrame, comp: DataFrame, sets: DataFrame, t: float) ->
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> one row each: row, doc_id, n_shingles, component_id."""
+def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int = 0, groups: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> one row each: row, doc_id, n_shingles, component_id.
+
+    groups adds `group`, a key per component that does not depend on doc_id (null for empty sets).
+    """
     t = percent / 100
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(_rows(docs, n, seed))
     classes = written(rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("check").alias("c1"), F.max("check").alias("c2")))
     if not classes.where("c1 <> c2").isEmpty():
-        return join_components(docs, n, percent, seed + 1)
+        return join_components(docs, n, percent, seed + 1, groups)
     by_cell = Window.partitionBy("cell").orderBy("key")
     live = written(_cells(docs, n, seed, t).withColumn("anchor", F.first("key").over(by_cell)).where("anchor <> key").distinct())
     stars = written(live.select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct())
@@ -334,10 +337,11 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
     named = comp.select(F.col("key").alias("k"), "component")
     own = classes.select("key", "least").join(named, F.col("key") == F.col("k"), "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    lookup = written(own.join(smallest, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id"))
-    filled = rows.where("size > 0").join(lookup, F.col("key") == F.col("k")).select("row", "doc_id", "size", "component_id")
-    empty = rows.where("size = 0").select("row", "doc_id", "size", F.col("doc_id").alias("component_id"))
-    return filled.union(empty).withColumnRenamed("size", "n_shingles")
+    lookup = written(own.join(smallest, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id", F.col("component").alias("group")))
+    filled = rows.where("size > 0").join(lookup, F.col("key") == F.col("k")).select("row", "doc_id", "size", "component_id", "group")
+    empty = rows.where("size = 0").select("row", "doc_id", "size", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    out = filled.union(empty).withColumnRenamed("size", "n_shingles")
+    return out if groups else out.drop("group")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
