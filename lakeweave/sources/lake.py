@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import has_nan, normalize
 
+#: Fixed value: the form of a lake file's name.
 NAME = re.compile(r"data_size(\d+)_t(\d+)c(\d+)_len(\d+)_noznorm\.bin$")
 SCHEMA = "table_id int, set_id int, pos int, set_size int, values array<float>"
 

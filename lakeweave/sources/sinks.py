@@ -1,4 +1,8 @@
-"""Result sinks."""
+"""Result sinks.
+
+Fixed values of the result format: column names tqq, tss, nooverlap; names of the form t<table>c<set>;
+folders query_results and query_time.
+"""
 
 from __future__ import annotations
 
