@@ -29,7 +29,9 @@ from .common import table, text_slices, words_of
 
 TERMS = 1 << 15
 WINDOW = 32
-RANK = 128
+RANK = 256
+#: Words in more than this share of the documents (and in more than COMMON_LEAST) say nothing about a passage.
+COMMON, COMMON_LEAST = 1 / 8, 20
 BLOCK = 20_000
 ANSWER_WORDS = 5
 LEAST_WORDS = 2
@@ -105,44 +107,62 @@ def _tfidf(parts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, t, value / np.maximum(length[row], 1e-12)
 
 
+def _used_terms(batches):
+    for batch in batches:
+        every = batch.column("part").to_pylist()
+        if every:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(np.frombuffer(b"".join(every), np.uint64))))], ["term"])
+
+
 def randomised_svd(parts: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """TERMS x r basis of the leading right singular vectors of the passages' TF-IDF matrix."""
     context = parts.sparkSession.sparkContext
-    rng = np.random.default_rng(seed)
-    basis = rng.normal(size=(TERMS, rank + 10)).astype(np.float32)
+    used = parts.select("part").mapInArrow(_used_terms, "term long").distinct().toArrow()
+    terms = np.sort(used.column("term").to_numpy())
+    place = np.zeros(TERMS, np.int64)
+    place[terms] = np.arange(len(terms))
+    # Rows for the passages' own terms only; sums travel as float32.
+    basis = np.random.default_rng(seed).normal(size=(len(terms), rank + 10)).astype(np.float32)
 
     def applied(matrix: np.ndarray, gram: bool) -> np.ndarray:
-        shared = context.broadcast((matrix, idf))
+        shared = context.broadcast((matrix, idf, place))
 
         def run(batches):
-            m, weight = shared.value
+            m, weight, at = shared.value
             total = None
             for batch in batches:
                 every = batch.column("part").to_pylist()
                 for a in range(0, len(every), 2000):
                     row, t, value = _tfidf(every[a : a + 2000], weight)
                     y = np.zeros((min(2000, len(every) - a), m.shape[1]))
-                    np.add.at(y, row, value[:, None] * m[t])
+                    np.add.at(y, row, value[:, None] * m[at[t]])
                     if gram:
                         out = y.T @ y
                     else:
                         out = np.zeros(m.shape)
-                        np.add.at(out, t, value[:, None] * y[row])
+                        np.add.at(out, at[t], value[:, None] * y[row])
                     total = out if total is None else total + out
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["m"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["m"])
 
-        pieces = parts.select("part").mapInArrow(run, "m binary").rdd.map(lambda r: np.frombuffer(bytes(r["m"])))
-        shape = (matrix.shape[1], matrix.shape[1]) if gram else matrix.shape
+        pieces = parts.select("part").mapInArrow(run, "m binary").rdd.map(lambda r: np.frombuffer(bytes(r["m"]), np.float32))
         total = pieces.treeReduce(lambda a, b: a + b, 3)
-        return total.reshape(shape)
+        shared.unpersist()
+        return total.reshape((matrix.shape[1],) * 2 if gram else matrix.shape)
 
     for _ in range(2):
-        basis = np.linalg.qr(applied(basis, False))[0].astype(np.float32)
+        new = applied(basis, False)
+        some = np.flatnonzero(np.abs(new).max(1))  # terms with a weight
+        if not len(some):
+            return np.zeros((TERMS, 0), np.float32)
+        basis = np.zeros((len(terms), min(len(some), new.shape[1])), np.float32)
+        basis[some] = np.linalg.qr(new[some])[0]
     values, vectors = np.linalg.eigh(applied(basis, True))
     keep = np.argsort(-values)[:rank]
-    keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
-    return (basis @ vectors[:, keep]).astype(np.float32)
+    keep = keep[values[keep] > 1e-9 * max(values.max(initial=0), 1e-30)]
+    out = np.zeros((TERMS, len(keep)), np.float32)
+    out[terms] = basis @ vectors[:, keep]
+    return out
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -168,8 +188,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.2, near: flo
     if not n:
         return spark.createDataFrame([], schema)
     idf = np.log1p(n / np.maximum(frequency, 1))
+    idf[frequency > max(COMMON * n, COMMON_LEAST)] = 0
     basis = randomised_svd(parts, idf)
-    support = np.abs(basis).max(1) > 1e-7
+    support = np.abs(basis).max(1, initial=0) > 1e-7
     numbered = parts.rdd.map(lambda r: (r["item_id"], bytes(r["part"]), bytes(r["words"]), bytes(r["answer"])))
     found, block = None, []
     for r in numbered.toLocalIterator():
@@ -225,13 +246,15 @@ def _search(docs, block, basis, support, idf, cosine, near, paraphrase, answer,
                 with_next[:-1] = owner[1:] == owner[:-1]
                 length = np.sqrt(np.maximum(norm + np.where(with_next, np.append(norm[1:], 0), 0), 1e-12))
                 seen = set()
-                for a in range(0, total, 4096):
-                    b = min(total, a + 4096)
-                    z = y[a:b] + np.where(with_next[a:b, None], y[a + 1 : b + 1], 0)
-                    like = (z @ latent.T) / length[a:b, None]
+                # No cosine exceeds the share of a window that lies in the latent space.
+                y[:-1] += np.where(with_next[:, None], y[1:], 0)
+                open_ = np.flatnonzero(np.einsum("ij,ij->i", y[:-1], y[:-1]) >= (cosine * length) ** 2)
+                for a in range(0, len(open_), 4096):
+                    own = open_[a : a + 4096]
+                    like = (y[own] @ latent.T) / length[own, None]
                     for i, j in zip(*np.nonzero(like >= cosine), strict=True):
-                        d, item = int(owner[a + i]), names[j]
-                        place = int((a + i - start[d]) * half)
+                        d, item = int(owner[own[i]]), names[j]
+                        place = int((own[i] - start[d]) * half)
                         if (d, item) in seen:
                             continue
                         words, wanted = texts[item]
