@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm import decontaminate as leaks
 from lakeweave.llm import language, mixing, ngram_join, sharding
-from lakeweave.llm.common import ensure_checkpoint_dir, written
+from lakeweave.llm.common import ensure_checkpoint_dir, small_side, written
 
 #: Documents whose best language covers less than this share of their letters are rejected.
 LEAST_SCORE = 0.5
@@ -28,10 +28,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def _only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the numbered rows; the small side is hashed, so texts are not sorted."""
-    numbered = _numbered(docs)
-    return numbered.join(rows.select(F.col("row").alias(ROW)).hint("shuffle_hash"), ROW, how).select(*docs.columns)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the numbered rows."""
+    return _numbered(docs).join(small_side(written(rows.select(F.col("row").alias(ROW)))), ROW, "left_anti").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +38,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.train_languages(docs.select("doc_id", "text", "lang"))
     numbered = _numbered(docs)
     found = language.identify(numbered.select(F.col(ROW).alias("doc_id"), "text"), model)
-    bad = written(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("row")))
-    return _only(docs, bad, "left_anti")
+    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("row")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +48,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     joined = written(ngram_join.join_components(docs.select("doc_id", "text"), n=5, percent=80, groups=True))
     first = joined.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row")).alias("f"))
-    kept = written(first.select(F.col("f.row").alias("row")).union(joined.where("n_shingles = 0").select("row")))
-    return _only(docs, kept, "left_semi")
+    kept = first.select(F.col("f.row").alias("row"))
+    return _without(docs, joined.where("n_shingles > 0").select("row").join(kept, "row", "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a benchmark item or a paraphrase of one."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bad = written(leaks.find_leaks(numbered, leaks.benchmark_items(spark, sf_dir)).select("row").distinct())
-    return _only(docs, bad, "left_anti")
+    return _without(docs, leaks.find_leaks(numbered, leaks.benchmark_items(spark, sf_dir)).select("row").distinct())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +63,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     numbered = _numbered(docs)
     mixed = mixing.mix(numbered.select(F.col(ROW).alias("doc_id"), "source", "text"))
     taken = written(mixed.where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("copies").cast("int").alias("__copies")))
-    repeated = numbered.join(taken.hint("shuffle_hash"), ROW)
+    repeated = numbered.join(small_side(taken), ROW)
     return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

@@ -66,6 +66,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast; more are joined by a shuffle that hashes them.
+BROADCAST_ROWS = 300_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row as the small side of a join: broadcast if its counted size allows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("shuffle_hash")
+
+
 # ---------------------------------------------------------------- word finding
 
 _SEPARATOR = np.zeros(256, bool)

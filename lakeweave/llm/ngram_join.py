@@ -12,8 +12,8 @@ and the next. In a band, n-grams are dealt by hash into d + 1 + SPARE blocks. Li
 at least 1 + SPARE blocks, so they share a cell (band, block, block content): one with content if either has at
 most SPARE empty blocks, else an empty one, which only sets with more empty blocks visit. No link is lost.
 
-First, each set of a cell is paired with the cell's first set; surviving pairs are verified and give
-components. Then every cell that still holds several components packs its vectors into an R-tree (sort-tile
+First, each set of a cell is paired with the cell's first set; of the pairs that the bound leaves, one of each set
+is verified, then those that still join different components. Vectors are small and kept for every class; texts are fetched for what the bound leaves only. Then every cell that still holds several components packs its vectors into an R-tree (sort-tile
 order, boxes of minima and maxima); each set walks it with the bound of summed minima, leaving boxes that
 cannot reach the overlap and boxes of its own component. What survives is verified on the texts. A cell is
 solved in pairs of tiles of about `TILE` sets, so no task holds a whole large cell, and near copies,
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_slices, words_of, written
+from .common import mix64, small_side, table, text_slices, words_of, written
 
 GROUPS = 128
 SPARE = 2
@@ -177,16 +177,18 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _rows(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """(row, doc_id, key, check, size) of each row of (row, doc_id, text)."""
+    """(row, doc_id, key, check, size, vector) of each row of (row, doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
                 _, g, at = gram_sets(data, offsets, n, seed)
                 key, check = class_keys(g, at)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), _signed(key), _signed(check), pa.array(np.diff(at))], ["row", "doc_id", "key", "check", "size"])
+                v = np.ascontiguousarray(count_vectors(g, at).astype(np.uint16))
+                vector = pa.Array.from_buffers(pa.binary(2 * GROUPS), b - a, [None, pa.py_buffer(v)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), _signed(key), _signed(check), pa.array(np.diff(at)), vector], ["row", "doc_id", "key", "check", "size", "vector"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, key long, check long, size long")
+    return docs.mapInArrow(run, "row long, doc_id long, key long, check long, size long, vector binary")
 
 
 def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
@@ -212,23 +214,16 @@ def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cell long, key long")
 
 
-def _with_vectors(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """(key, text) -> (key, size, vector, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
-                _, g, at = gram_sets(data, offsets, n, seed)
-                v = np.ascontiguousarray(count_vectors(g, at).astype(np.uint16))
-                vec = pa.Array.from_buffers(pa.binary(2 * GROUPS), b - a, [None, pa.py_buffer(v)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(np.diff(at)), vec, batch.column("text").slice(a, b - a)], ["key", "size", "vector", "text"])
-
-    return docs.mapInArrow(run, "key long, size long, vector binary, text string")
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text) of every class in pairs (a, b)."""
+    used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = written(used.join(classes, "key").select("key", "first_row"))
+    return written(docs.join(small_side(wanted), docs["row"] == F.col("first_row")).select("key", "text"))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and summed minima allow a link."""
-    light = sets.select("key", "size", "vector")
+    """Pairs (a, b) whose sizes and summed minima allow a link; sets: (key, size, vector)."""
+    light = sets
     x, y = (light.select(*[F.col(c).alias(f"{c}_{s}") for c in light.columns]) for s in "ab")
     j = pairs.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b")).select("a", "b", "size_a", "size_b", "vector_a", "vector_b")
 
@@ -242,9 +237,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return j.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
-    """Links among pairs (a, b), decided on the n-gram sets of both texts."""
-    full = sets.select("key", "text")
+def _verified(pairs: DataFrame, full: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
+    """Links among pairs (a, b), decided on the n-gram sets of both texts; full: (key, text)."""
     x, y = (full.select(*[F.col(c).alias(f"{c}_{s}") for c in full.columns]) for s in "ab")
     j = pairs.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b")).select("a", "b", "text_a", "text_b")
 
@@ -275,6 +269,13 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     return state
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are not yet in one component."""
+    x, y = (comp.select(F.col("key").alias(f"k{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    j = pairs.join(x, F.col("a") == F.col("ka"), "left").join(y, F.col("b") == F.col("kb"), "left")
+    return j.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _open_pairs(live: DataFrame, comp: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Pairs of different components that an R-tree search in some cell leaves."""
     of = comp.select(F.col("key").alias("k"), "component")
@@ -323,15 +324,19 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
     by_cell = Window.partitionBy("cell").orderBy("key")
     live = written(_cells(docs, n, seed, t).withColumn("anchor", F.first("key").over(by_cell)).where("anchor <> key").distinct())
     stars = written(live.select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct())
-    used = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
-    wanted = used.join(classes, "key").select("key", "first_row")
-    texts = docs.join(wanted, docs["row"] == wanted["first_row"]).select("key", "text")
-    sets = written(_with_vectors(texts, n, seed))
-    links = written(_verified(written(_bounded(stars, sets, t)), sets, n, seed, percent))
+    sets = written(rows.join(classes.select("first_row"), F.col("row") == F.col("first_row")).select("key", "size", "vector"))
+    likely = written(_bounded(stars, sets, t))
+    # One pair of each set connects most; then only pairs of different components are left to verify.
+    one = written(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = written(_verified(one, _texts(docs, classes, one), n, seed, percent))
     comp = components(links)
+    apart = written(_apart(likely, comp).join(one, ["a", "b"], "left_anti"))
+    if not apart.isEmpty():
+        links = written(links.union(_verified(apart, _texts(docs, classes, apart), n, seed, percent)))
+        comp = components(links)
     rest = written(_open_pairs(live, comp, sets, t).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = written(_verified(rest, sets, n, seed, percent))
+        more = written(_verified(rest, _texts(docs, classes, rest), n, seed, percent))
         if not more.isEmpty():
             comp = components(links.union(more))
     named = comp.select(F.col("key").alias("k"), "component")
