@@ -10,8 +10,12 @@ words with the whole item decides: a share of `near` of the item is a copy; a sh
 if the answer is there too, that is, `answer` of the words of the item's answer, or of its last `ANSWER_WORDS`
 words where the benchmark has no answers, appear in their order.
 
-Benchmarks beyond `BLOCK` passages are searched in blocks, so what is broadcast is bounded: `TERMS` x `RANK`
-numbers and one block. The benchmark is a stated query set; documents never meet each other.
+A passage that keeps less than `KEPT` of its length in the latent basis goes, with at most `RANK` others, to a basis
+that spans these passages whole. Whatever the cosine, a run of `GRAM` words equal to the item's (all of a shorter
+item) makes a candidate, so every verbatim copy is compared; its cosine is null if no window reached `cosine`.
+
+Benchmarks beyond `BLOCK` passages are searched in blocks, and `SPACES` bases at a time, so what is broadcast is
+bounded: `TERMS` x `RANK` numbers, the terms of `SPACES` x `RANK` passages by `RANK`, and one block. The benchmark is a stated query set; documents never meet each other.
 
 Defined results: null text counts as empty; null items and items without words match nothing; an item of one
 word matches nothing (it has no order); repeated rows are searched one by one; an empty benchmark or table gives an
@@ -20,12 +24,14 @@ empty result; other columns are ignored, and so is a clash of their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, words_of
+from .common import mix64, table, text_slices, words_of
 
 TERMS = 1 << 15
 WINDOW = 32
@@ -35,6 +41,10 @@ COMMON, COMMON_LEAST = 1 / 8, 20
 BLOCK = 20_000
 ANSWER_WORDS = 5
 LEAST_WORDS = 2
+#: A passage that keeps less of its length in the common basis gets one of its own; so many of those meet a document in one pass.
+KEPT, SPACES = 0.7, 8
+#: Equal words in a row that make a candidate without the latent space.
+GRAM = 8
 _MASK = np.uint64(TERMS - 1)
 
 
@@ -190,33 +200,109 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.2, near: flo
     idf = np.log1p(n / np.maximum(frequency, 1))
     idf[frequency > max(COMMON * n, COMMON_LEAST)] = 0
     basis = randomised_svd(parts, idf)
-    support = np.abs(basis).max(1, initial=0) > 1e-7
     numbered = parts.rdd.map(lambda r: (r["item_id"], bytes(r["part"]), bytes(r["words"]), bytes(r["answer"])))
-    found, block = None, []
+    found, block = [], []
     for r in numbered.toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
-            more = _search(docs, block, basis, support, idf, cosine, near, paraphrase, answer, schema)
-            found, block = more if found is None else found.union(more), []
+            found += _searches(docs, block, basis, idf, cosine, near, paraphrase, answer, schema)
+            block = []
     if block:
-        more = _search(docs, block, basis, support, idf, cosine, near, paraphrase, answer, schema)
-        found = more if found is None else found.union(more)
-    return found
+        found += _searches(docs, block, basis, idf, cosine, near, paraphrase, answer, schema)
+    if len(found) == 1:
+        return found[0]
+    # An item may be found by several searches: the first word of the highest cosine stays.
+    best = F.max(F.struct("cosine", -F.col("word"), *[F.col(c) for c in ("doc_id", "word", "lcs", "answer_share")])).alias("best")
+    every = reduce(DataFrame.union, found).groupBy("row", "item_id").agg(best)
+    return every.select("row", "best.doc_id", "item_id", "best.word", "best.cosine", "best.lcs", "best.answer_share")
+
+
+def _latent(parts: list[bytes], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Passages of length 1, mapped to the basis."""
+    row, t, value = _tfidf(parts, idf)
+    out = np.zeros((len(parts), basis.shape[1]), np.float32)
+    np.add.at(out, row, (value[:, None] * basis[t]).astype(np.float32))
+    return out
+
+
+def own_basis(parts: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """TERMS x r basis of the whole row space of at most `RANK` passages, by their Gram matrix."""
+    row, t, value = _tfidf(parts, idf)
+    terms, place = np.unique(t, return_inverse=True)
+    a = np.zeros((len(parts), len(terms)))
+    a[row, place] = value
+    values, vectors = np.linalg.eigh(a @ a.T)
+    keep = values > 1e-6 * max(values.max(initial=0), 1e-30)
+    out = np.zeros((TERMS, int(keep.sum())), np.float32)
+    out[terms] = a.T @ (vectors[:, keep] / np.sqrt(values[keep]))
+    return out
 
 
-def _search(docs, block, basis, support, idf, cosine, near, paraphrase, answer, schema):
-    row, t, value = _tfidf([p for _, p, _, _ in block], idf)
-    latent = np.zeros((len(block), basis.shape[1]), np.float32)
-    np.add.at(latent, row, (value[:, None] * basis[t]).astype(np.float32))
-    latent /= np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None]
+def _space(members: list[int], latent: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> tuple:
+    """(slot of each term, weighted rows, latent passages of length 1, their places in the block)."""
+    support = np.abs(basis).max(1, initial=0) > 1e-7
     slot = np.full(TERMS, -1, np.int32)
     slot[support] = np.arange(support.sum())
+    return slot, (basis[support] * idf[support][:, None]).astype(np.float32), latent / np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None], members
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """One 64-bit hash for each run of n word hashes."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for i in range(n):
+        out = mix64(out + h[i : len(h) - n + 1 + i])
+    return out
+
+
+def anchors(texts: dict) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, bit table, sorted hashes, items) of the runs of n words that make an item a candidate.
+
+    n is `GRAM`, or the length of a shorter item. Of its runs an item keeps those that the fewest items
+    share: at least one, which every verbatim copy holds.
+    """
+    by: dict[int, list] = {}
+    for item, (words, _) in texts.items():
+        n = min(GRAM, len(words))
+        by.setdefault(n, []).append((item, np.unique(gram_hashes(np.array(words, np.uint64), n))))
+    out = []
+    for n, every in sorted(by.items()):
+        size = np.array([len(g) for _, g in every])
+        gram, owner = np.concatenate([g for _, g in every]), np.repeat(np.arange(len(every)), size)
+        _, place, count = np.unique(gram, return_inverse=True, return_counts=True)
+        least = np.minimum.reduceat(count[place], np.cumsum(size) - size)
+        keep = np.flatnonzero(count[place] == least[owner])
+        keep = keep[np.argsort(gram[keep], kind="stable")]
+        table_ = np.zeros(1 << (8 * len(keep)).bit_length(), bool)
+        table_[gram[keep] & np.uint64(len(table_) - 1)] = True
+        out.append((n, table_, gram[keep], [every[i][0] for i in owner[keep]]))
+    return out
+
+
+def _searches(docs, block, basis, idf, *limits) -> list[DataFrame]:
+    """Searches for one block: passages that keep `KEPT` of their length in the common basis, others in bases of their own."""
+    parts = [p for _, p, _, _ in block]
+    latent = _latent(parts, basis, idf)
+    kept = np.sqrt((latent**2).sum(1)) >= KEPT
+    strong, weak = np.flatnonzero(kept).tolist(), np.flatnonzero(~kept).tolist()
+    out = []
+    for a in range(0, max(1, len(weak)), RANK * SPACES):
+        spaces = [_space(strong, latent[strong], basis, idf)] if a == 0 and strong else []
+        for b in range(a, min(len(weak), a + RANK * SPACES), RANK):
+            own = weak[b : b + RANK]
+            rows = [parts[i] for i in own]
+            local = own_basis(rows, idf)
+            spaces.append(_space(own, _latent(rows, local, idf), local, idf))
+        out.append(_search(docs, block, spaces, a == 0, idf, *limits))
+    return out
+
+
+def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, schema):
     texts = {item: (np.frombuffer(w, np.uint64).tolist(), np.frombuffer(a, np.uint64).tolist()) for item, _, w, a in block}
-    shared = docs.sparkSession.sparkContext.broadcast((slot, (basis[support] * idf[support][:, None]).astype(np.float32), (idf**2), latent, [i for i, *_ in block], texts))
+    shared = docs.sparkSession.sparkContext.broadcast((spaces, idf**2, [i for i, *_ in block], texts, anchors(texts) if exact else []))
     half = WINDOW // 2
 
     def run(batches):
-        slot, weighted, square, latent, names, texts = shared.value
+        spaces, square, names, texts, runs = shared.value
         for batch in batches:
             out = {c: [] for c in ("row", "doc_id", "item_id", "word", "cosine", "lcs", "answer_share")}
             for first, last, data, offsets in text_slices(batch.column("text")):
@@ -233,40 +319,54 @@ def _search(docs, block, basis, support, idf, cosine, near, paraphrase, answer,
                 at = start[doc] + (np.arange(len(h)) - w.offsets[doc]) // half
                 total = int(halves.sum())
                 norm = np.bincount(at, weights=square[term], minlength=total)
-                used = np.flatnonzero(slot[term] >= 0)
-                y = np.zeros((total + 1, latent.shape[1]), np.float32)
-                if len(used):
-                    group = at[used]
-                    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-                    for a in range(0, len(cut), 4096):
-                        lo, hi = cut[a], cut[a + 4096] if a + 4096 < len(cut) else len(used)
-                        y[group[cut[a : a + 4096]]] = np.add.reduceat(weighted[slot[term[used[lo:hi]]]], cut[a : a + 4096] - lo, axis=0)
                 owner = np.repeat(np.arange(len(size)), halves)
                 with_next = np.zeros(total, bool)
                 with_next[:-1] = owner[1:] == owner[:-1]
                 length = np.sqrt(np.maximum(norm + np.where(with_next, np.append(norm[1:], 0), 0), 1e-12))
-                seen = set()
-                # No cosine exceeds the share of a window that lies in the latent space.
-                y[:-1] += np.where(with_next[:, None], y[1:], 0)
-                open_ = np.flatnonzero(np.einsum("ij,ij->i", y[:-1], y[:-1]) >= (cosine * length) ** 2)
-                for a in range(0, len(open_), 4096):
-                    own = open_[a : a + 4096]
-                    like = (y[own] @ latent.T) / length[own, None]
-                    for i, j in zip(*np.nonzero(like >= cosine), strict=True):
-                        d, item = int(owner[own[i]]), names[j]
-                        place = int((own[i] - start[d]) * half)
-                        if (d, item) in seen:
-                            continue
-                        words, wanted = texts[item]
-                        lo = w.offsets[d] + max(0, place - len(words) - half)
-                        hi = min(w.offsets[d + 1], w.offsets[d] + place + WINDOW + len(words) + half)
-                        region = h[lo:hi].tolist()
-                        share = common_subsequence(words, region) / len(words)
-                        got = common_subsequence(wanted, region) / len(wanted) if wanted else 0.0
-                        if share >= near or (share >= paraphrase and got >= answer):
-                            seen.add((d, item))
-                            for c, x in (("row", batch.column("row")[first + d].as_py()), ("doc_id", batch.column("doc_id")[first + d].as_py()), ("item_id", item), ("word", place), ("cosine", float(like[i, j])), ("lcs", share), ("answer_share", got)):
-                                out[c].append(x)
+                seen, tried = set(), set()
+
+                def decide(window, item, like):
+                    d = int(owner[window])
+                    if (d, item) in seen or (window, item) in tried:
+                        return
+                    tried.add((window, item))
+                    place = int((window - start[d]) * half)
+                    words, wanted = texts[item]
+                    lo = w.offsets[d] + max(0, place - len(words) - half)
+                    hi = min(w.offsets[d + 1], w.offsets[d] + place + WINDOW + len(words) + half)
+                    region = h[lo:hi].tolist()
+                    share = common_subsequence(words, region) / len(words)
+                    got = common_subsequence(wanted, region) / len(wanted) if wanted else 0.0
+                    if share >= near or (share >= paraphrase and got >= answer):
+                        seen.add((d, item))
+                        for c, x in (("row", batch.column("row")[first + d].as_py()), ("doc_id", batch.column("doc_id")[first + d].as_py()), ("item_id", item), ("word", place), ("cosine", like), ("lcs", share), ("answer_share", got)):
+                            out[c].append(x)
+
+                for slot, weighted, latent, members in spaces:
+                    y = np.zeros((total + 1, latent.shape[1]), np.float32)
+                    used = np.flatnonzero(slot[term] >= 0)
+                    if len(used):
+                        group = at[used]
+                        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                        for a in range(0, len(cut), 4096):
+                            lo, hi = cut[a], cut[a + 4096] if a + 4096 < len(cut) else len(used)
+                            y[group[cut[a : a + 4096]]] = np.add.reduceat(weighted[slot[term[used[lo:hi]]]], cut[a : a + 4096] - lo, axis=0)
+                    # No cosine exceeds the share of a window that lies in the latent space.
+                    y[:-1] += np.where(with_next[:, None], y[1:], 0)
+                    open_ = np.flatnonzero(np.einsum("ij,ij->i", y[:-1], y[:-1]) >= (cosine * length) ** 2)
+                    for a in range(0, len(open_), 4096):
+                        own = open_[a : a + 4096]
+                        like = (y[own] @ latent.T) / length[own, None]
+                        for i, j in zip(*np.nonzero(like >= cosine), strict=True):
+                            decide(int(own[i]), names[members[j]], float(like[i, j]))
+                # Equal runs of words are candidates whatever their weight.
+                for n, bits, grams, items in runs:
+                    g = gram_hashes(h, n)
+                    like = np.flatnonzero(bits[g & np.uint64(len(bits) - 1)])
+                    like = like[doc[like] == doc[like + n - 1]]
+                    for p, lo, hi in zip(like.tolist(), np.searchsorted(grams, g[like], "left").tolist(), np.searchsorted(grams, g[like], "right").tolist(), strict=True):
+                        for item in items[lo:hi]:
+                            decide(int(at[p]), item, None)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_share", pa.float64())]))
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)

@@ -83,6 +83,22 @@ def test_svd_spans_the_matrix(spark):
     assert np.allclose(a @ basis @ basis.T, a, atol=1e-4)
 
 
+def test_a_benchmark_of_many_directions_loses_no_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "RANK", 8)
+    monkeypatch.setattr(D, "SPACES", 3)
+    monkeypatch.setattr(D.randomised_svd, "__defaults__", (8, 7))
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choices([f"word{j}" for j in range(3000)], k=rng.choice([15, 30, 58]))), None) for i in range(150)]
+    other = lambda n: " ".join(rng.choices([f"other{j}" for j in range(3000)], k=n))
+    drop = lambda t: " ".join(x for j, x in enumerate(t.split()) if j % 6 or not j)
+    docs = [(i, f"{other(70)} {drop(t) if i % 2 else t} {other(50)}") for i, t, _ in items]
+    write(spark, tmp_path, docs, items)
+    for gram in (8, 1000):  # by short runs of words, by whole items
+        monkeypatch.setattr(D, "GRAM", gram)
+        got = [(r.doc_id, r.item_id) for r in D.op4_decontaminate(spark, str(tmp_path)).collect()]
+        assert sorted(got) == [(i, i) for i in range(150)]
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path / "a", [], [(1, "some benchmark text", None)])
     assert D.op4_decontaminate(spark, str(tmp_path / "a")).collect() == []
