@@ -36,8 +36,8 @@ from .common import mix64, table, text_slices, words_of
 TERMS = 1 << 15
 WINDOW = 32
 RANK = 256
-#: Words in more than this share of the documents (and in more than COMMON_LEAST) say nothing about a passage.
-COMMON, COMMON_LEAST = 1 / 8, 20
+#: So many of the most frequent terms are counted by window and multiplied; the rows of others are summed word by word.
+DENSE = 128
 BLOCK = 20_000
 ANSWER_WORDS = 5
 LEAST_WORDS = 2
@@ -198,7 +198,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.2, near: flo
     if not n:
         return spark.createDataFrame([], schema)
     idf = np.log1p(n / np.maximum(frequency, 1))
-    idf[frequency > max(COMMON * n, COMMON_LEAST)] = 0
     basis = randomised_svd(parts, idf)
     numbered = parts.rdd.map(lambda r: (r["item_id"], bytes(r["part"]), bytes(r["words"]), bytes(r["answer"])))
     found, block = [], []
@@ -239,10 +238,11 @@ def own_basis(parts: list[bytes], idf: np.ndarray) -> np.ndarray:
 
 
 def _space(members: list[int], latent: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> tuple:
-    """(slot of each term, weighted rows, latent passages of length 1, their places in the block)."""
-    support = np.abs(basis).max(1, initial=0) > 1e-7
+    """(slot of each term, the most frequent first, weighted rows, latent passages of length 1, their places in the block)."""
+    support = np.flatnonzero(np.abs(basis).max(1, initial=0) > 1e-7)
+    support = support[np.argsort(idf[support], kind="stable")]
     slot = np.full(TERMS, -1, np.int32)
-    slot[support] = np.arange(support.sum())
+    slot[support] = np.arange(len(support))
     return slot, (basis[support] * idf[support][:, None]).astype(np.float32), latent / np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None], members
 
 
@@ -299,7 +299,7 @@ def _searches(docs, block, basis, idf, *limits) -> list[DataFrame]:
 def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, schema):
     texts = {item: (np.frombuffer(w, np.uint64).tolist(), np.frombuffer(a, np.uint64).tolist()) for item, _, w, a in block}
     shared = docs.sparkSession.sparkContext.broadcast((spaces, idf**2, [i for i, *_ in block], texts, anchors(texts) if exact else []))
-    half = WINDOW // 2
+    half, least = WINDOW // 2, min(near, paraphrase) - 1e-9
 
     def run(batches):
         spaces, square, names, texts, runs = shared.value
@@ -335,6 +335,9 @@ def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, s
                     lo = w.offsets[d] + max(0, place - len(words) - half)
                     hi = min(w.offsets[d + 1], w.offsets[d] + place + WINDOW + len(words) + half)
                     region = h[lo:hi].tolist()
+                    # No subsequence is longer than the item's words that occur at all.
+                    if sum(map(set(region).__contains__, words)) < least * len(words):
+                        return
                     share = common_subsequence(words, region) / len(words)
                     got = common_subsequence(wanted, region) / len(wanted) if wanted else 0.0
                     if share >= near or (share >= paraphrase and got >= answer):
@@ -344,13 +347,19 @@ def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, s
 
                 for slot, weighted, latent, members in spaces:
                     y = np.zeros((total + 1, latent.shape[1]), np.float32)
-                    used = np.flatnonzero(slot[term] >= 0)
+                    own = slot[term]
+                    wide = min(DENSE, len(weighted))
+                    often = np.flatnonzero((own >= 0) & (own < wide))
+                    if len(often):
+                        counts = np.bincount(at[often] * wide + own[often], minlength=total * wide).astype(np.float32)
+                        y[:-1] = counts.reshape(total, wide) @ weighted[:wide]
+                    used = np.flatnonzero(own >= wide)
                     if len(used):
                         group = at[used]
                         cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                         for a in range(0, len(cut), 4096):
                             lo, hi = cut[a], cut[a + 4096] if a + 4096 < len(cut) else len(used)
-                            y[group[cut[a : a + 4096]]] = np.add.reduceat(weighted[slot[term[used[lo:hi]]]], cut[a : a + 4096] - lo, axis=0)
+                            y[group[cut[a : a + 4096]]] += np.add.reduceat(weighted[own[used[lo:hi]]], cut[a : a + 4096] - lo, axis=0)
                     # No cosine exceeds the share of a window that lies in the latent space.
                     y[:-1] += np.where(with_next[:, None], y[1:], 0)
                     open_ = np.flatnonzero(np.einsum("ij,ij->i", y[:-1], y[:-1]) >= (cosine * length) ** 2)

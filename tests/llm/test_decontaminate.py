@@ -99,6 +99,24 @@ def test_a_benchmark_of_many_directions_loses_no_copy(spark, tmp_path, monkeypat
         assert sorted(got) == [(i, i) for i in range(150)]
 
 
+def test_items_of_words_in_most_documents_are_found(spark, tmp_path):
+    rng = random.Random(6)
+    common = [f"word{j}" for j in range(40)]
+    items = [(i, " ".join(rng.choices(common, k=k)), None) for i, k in enumerate([12, 25, 40, 90])]
+    docs = [(100 + d, " ".join(rng.choices(common, k=200))) for d in range(60)]
+    docs += [(i, " ".join(f"rare{i}x{j}" for j in range(20)) + f" {t} " + " ".join(f"rare{i}y{j}" for j in range(20))) for i, t, _ in items]
+    write(spark, tmp_path, docs, items)
+    got = {(r.doc_id, r.item_id): r.lcs for r in D.op4_decontaminate(spark, str(tmp_path)).collect()}
+    assert all(got[i, i] == 1 for i, _, _ in items)
+
+
+def test_every_term_has_a_weight(spark):
+    text = "all of these words are in every document of the table"
+    docs = spark.createDataFrame([(i, i, text) for i in range(50)], "row long, doc_id long, text string")
+    got = D.find_leaks(docs, spark.createDataFrame([(1, text, None)], "item_id long, text string, answer string")).collect()
+    assert len(got) == 50 and all(r.cosine > 0.99 for r in got)
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path / "a", [], [(1, "some benchmark text", None)])
     assert D.op4_decontaminate(spark, str(tmp_path / "a")).collect() == []
