@@ -254,18 +254,26 @@ def _verified(pairs: DataFrame, full: DataFrame, n: int, seed: int, percent: int
     return j.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(key, component) of every end of a link: smallest reachable key, by neighbour minima and jumps."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("component")))
-    for _ in range(most_rounds):
-        near = edges.join(state, edges["b"] == state["key"]).groupBy("a").agg(F.min("component").alias("m"))
-        lower = state.join(near, state["key"] == near["a"], "left").select("key", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("before"))
-        to = state.select(F.col("key").alias("k2"), F.col("component").alias("c2"))
-        after = written(lower.join(to, lower["component"] == to["k2"], "left").select("key", F.least("component", F.coalesce("c2", "component")).alias("component"), "before"))
-        state = after.drop("before")
-        if after.where("component <> before").isEmpty():
-            break
+def components(links: DataFrame) -> DataFrame:
+    """(key, component) of every end of a link: smallest reachable key, by contraction.
+
+    Each root goes under its smallest neighbour if that is smaller, chains are followed to their ends, and links
+    between the roots that are left go on. A root that stays without a gain has a neighbour that went under a still smaller one,
+    so it goes in the next round: roots at least halve in two rounds, whatever the keys.
+    """
+    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    state = written(links.select(F.col("a").alias("key")).union(links.select("b")).distinct().withColumn("component", F.col("key")))
+    while not edges.isEmpty():
+        to = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("root")))
+        moved = True
+        while moved:
+            up = small_side(to.select(F.col("from").alias("f2"), F.col("root").alias("r2")))
+            after = written(to.join(up, F.col("root") == F.col("f2")).select("from", F.col("r2").alias("root"), F.col("root").alias("before")))
+            to, moved = after.drop("before"), not after.where("root <> before").isEmpty()
+        state = written(state.join(small_side(to), F.col("component") == F.col("from"), "left").select("key", F.coalesce("root", "component").alias("component")))
+        x, y = (small_side(to.select(F.col("from").alias(f"f{s}"), F.col("root").alias(f"r{s}"))) for s in "ab")
+        between = edges.join(x, F.col("a") == F.col("fa")).join(y, F.col("b") == F.col("fb")).where("ra <> rb")
+        edges = written(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     return state
 
 

@@ -93,5 +93,13 @@ def test_linked_sets_share_a_cell():
             assert set(cell[who == 0].tolist()) & set(cell[who == 1].tolist())
 
 
+def test_components_of_long_chains_converge(spark):
+    rng = random.Random(4)
+    keys = rng.sample(range(-(10**9), 10**9), 1200)
+    links = [*zip(keys[:999], keys[1:1000], strict=True), *zip(keys[1000:1199], keys[1001:], strict=True)]
+    got = J.components(spark.createDataFrame([(min(x), max(x)) for x in links], "a long, b long")).collect()
+    assert {r.key: r.component for r in got} == {k: min(keys[:1000]) if i < 1000 else min(keys[1000:]) for i, k in enumerate(keys)}
+
+
 def test_empty_table(spark):
     assert J.join_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
