@@ -22,26 +22,27 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Phrases that always count, with their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: What a text must hold for any rule to match, in either case.
-GATE = rf"(?i)licen[cs]|(?<![0-9a-z])cc{BETWEEN}+(?:by|zero|0)|spdx|copyright|copyleft|public{BETWEEN}+domain|rights{BETWEEN}+reserved"
+GATE = rf"(?i)licen[cs]|(?<![0-9a-z])cc(?:0|{BETWEEN}+(?:by|zero|0))|gpl|bsd|creative{BETWEEN}+commons|apache{BETWEEN}+2|mit{BETWEEN}+no{BETWEEN}+attribution|spdx|copyright|copyleft|public{BETWEEN}+domain|rights{BETWEEN}+reserved"
 
 #: (label, keyword, names as patterns over words joined by blanks). Most specific first within a family.
+#: Every match of a name holds the keyword; a name whose matches need not has one of its own: (name, keyword).
 FAMILIES = [
-    ("agpl-3", "affero", [r"gnu affero general public licen[cs]e(?: version| v)? ?3", r"agpl ?v?3(?: 0)?"]),
-    ("agpl", "affero", [r"(?:gnu )?affero general public licen[cs]e", r"gnu agpl"]),
-    ("lgpl-2.1", "lesser", [r"gnu lesser general public licen[cs]e(?: version| v)? ?2 1", r"lgpl ?v?2 1"]),
-    ("lgpl-3", "lesser", [r"gnu lesser general public licen[cs]e(?: version| v)? ?3", r"lgpl ?v?3(?: 0)?"]),
+    ("agpl-3", "affero", [r"gnu affero general public licen[cs]e(?: version| v)? ?3", (r"agpl ?v?3(?: 0)?", "agpl")]),
+    ("agpl", "affero", [r"(?:gnu )?affero general public licen[cs]e", (r"gnu agpl", "agpl")]),
+    ("lgpl-2.1", "lesser", [r"gnu lesser general public licen[cs]e(?: version| v)? ?2 1", (r"lgpl ?v?2 1", "lgpl")]),
+    ("lgpl-3", "lesser", [r"gnu lesser general public licen[cs]e(?: version| v)? ?3", (r"lgpl ?v?3(?: 0)?", "lgpl")]),
     ("lgpl-2", "library general", [r"gnu library general public licen[cs]e(?: version| v)? ?2"]),
     ("lgpl", "lesser", [r"(?:gnu )?lesser general public licen[cs]e"]),
-    ("gpl-2", "general public", [r"gnu general public licen[cs]e(?: version| v)? ?2(?: 0)?", r"gpl ?v?2(?: 0)?"]),
-    ("gpl-3", "general public", [r"gnu general public licen[cs]e(?: version| v)? ?3(?: 0)?", r"gpl ?v?3(?: 0)?"]),
-    ("gpl", "general public", [r"(?:gnu )?general public licen[cs]e", r"gnu gpl"]),
+    ("gpl-2", "general public", [r"gnu general public licen[cs]e(?: version| v)? ?2(?: 0)?", (r"gpl ?v?2(?: 0)?", "gpl")]),
+    ("gpl-3", "general public", [r"gnu general public licen[cs]e(?: version| v)? ?3(?: 0)?", (r"gpl ?v?3(?: 0)?", "gpl")]),
+    ("gpl", "general public", [r"(?:gnu )?general public licen[cs]e", (r"gnu gpl", "gpl")]),
     ("gfdl-1.3", "free documentation", [r"gnu free documentation licen[cs]e(?: version| v)? ?1 3"]),
     ("gfdl", "free documentation", [r"(?:gnu )?free documentation licen[cs]e"]),
     ("apache-2", "apache", [r"apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", r"apache 2(?: 0)?"]),
     ("apache-1.1", "apache", [r"apache(?: software)? licen[cs]e(?: version| v)? ?1 1"]),
     ("apache", "apache", [r"apache(?: software)? licen[cs]e"]),
     ("mit-0", "mit", [r"mit no attribution", r"mit 0 licen[cs]e"]),
-    ("mit", "mit", [r"mit licen[cs]e", r"mit x11 licen[cs]e", r"expat licen[cs]e"]),
+    ("mit", "mit", [r"mit licen[cs]e", r"mit x11 licen[cs]e", (r"expat licen[cs]e", "expat")]),
     ("bsd-2", "bsd", [r"(?:simplified |freebsd )bsd licen[cs]e", r"bsd 2 clause(?: licen[cs]e)?", r"2 clause bsd(?: licen[cs]e)?"]),
     ("bsd-3", "bsd", [r"(?:new |modified |revised )bsd licen[cs]e", r"bsd 3 clause(?: licen[cs]e)?", r"3 clause bsd(?: licen[cs]e)?"]),
     ("bsd-4", "bsd", [r"original bsd licen[cs]e", r"bsd 4 clause(?: licen[cs]e)?"]),
@@ -66,7 +67,7 @@ FAMILIES = [
     ("zlib", "zlib", [r"zlib(?: libpng)? licen[cs]e"]),
     ("unlicense", "unlicense", [r"the unlicense", r"unlicense licen[cs]e"]),
     ("wtfpl", "what the", [r"do what the f[a-z]+ you want to public licen[cs]e"]),
-    ("python-2", "python", [r"python software foundation licen[cs]e(?: version| v)? ?2", r"psf licen[cs]e"]),
+    ("python-2", "python", [r"python software foundation licen[cs]e(?: version| v)? ?2", (r"psf licen[cs]e", "psf")]),
     ("php-3", "php", [r"php licen[cs]e(?: version| v)? ?3(?: 01| 0)?"]),
     ("ruby", "ruby", [r"ruby licen[cs]e"]),
     ("openssl", "openssl", [r"openssl licen[cs]e"]),
@@ -80,13 +81,13 @@ FAMILIES = [
     ("busl-1.1", "business source", [r"business source licen[cs]e(?: version| v)?(?: ?1 1)?"]),
     ("sspl-1", "server side", [r"server side public licen[cs]e(?: version| v)?(?: ?1)?"]),
     ("elastic-2", "elastic", [r"elastic licen[cs]e(?: version| v)?(?: ?2(?: 0)?)?"]),
-    ("cc-by-nc-nd", "nc", [r"cc by nc nd", r"creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)"]),
-    ("cc-by-nc-sa", "nc", [r"cc by nc sa", r"creative commons attribution non ?commercial share ?alike"]),
-    ("cc-by-nc", "nc", [r"cc by nc", r"creative commons attribution non ?commercial"]),
-    ("cc-by-nd", "nd", [r"cc by nd", r"creative commons attribution no ?deriv(?:s|atives|ative works)"]),
-    ("cc-by-sa", "sa", [r"cc by sa", r"creative commons attribution share ?alike"]),
-    ("cc-by", "by", [r"cc by", r"creative commons attribution"]),
-    ("cc0", "cc", [r"cc0(?: 1 0)?", r"cc zero", r"creative commons zero"]),
+    ("cc-by-nc-nd", "nc", [r"cc by nc nd", (r"creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)", "creative commons")]),
+    ("cc-by-nc-sa", "nc", [r"cc by nc sa", (r"creative commons attribution non ?commercial share ?alike", "creative commons")]),
+    ("cc-by-nc", "nc", [r"cc by nc", (r"creative commons attribution non ?commercial", "creative commons")]),
+    ("cc-by-nd", "nd", [r"cc by nd", (r"creative commons attribution no ?deriv(?:s|atives|ative works)", "creative commons")]),
+    ("cc-by-sa", "sa", [r"cc by sa", (r"creative commons attribution share ?alike", "creative commons")]),
+    ("cc-by", "by", [r"cc by", (r"creative commons attribution", "creative commons")]),
+    ("cc0", "cc", [r"cc0(?: 1 0)?", r"cc zero", (r"creative commons zero", "creative commons")]),
     ("public-domain", "public domain", [r"public domain dedication", r"in the public domain", r"dedicated to the public domain"]),
     ("proprietary", "rights reserved", [r"all rights reserved"]),
 ]
@@ -105,9 +106,9 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, score): each family's names in each frame, then the base phrases."""
     out = []
     for at, (label, keyword, names) in enumerate(FAMILIES):
-        for name in names:
+        for name, own in (x if isinstance(x, tuple) else (x, keyword) for x in names):
             for frame, priority, score in FRAMES:
-                out.append((label, keyword, f"(?<= ){frame.format(f'(?:{name})')}(?= )", priority * 1000 + 1000 - at, score))
+                out.append((label, own, f"(?<= ){frame.format(f'(?:{name})')}(?= )", priority * 1000 + 1000 - at, score))
     return out
 
 

@@ -44,5 +44,46 @@ def test_hundreds_of_rules_compile_and_read_lower_case_words(spark):
         assert keyword == keyword.lower()
 
 
+def expanded(tree):
+    """Texts that a rule's pattern matches: all optional parts, branches and classes of a few letters."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            some = [chr(arg)]
+        elif kind == "IN":
+            some = [chr(x) if str(o) == "LITERAL" else chr(x[0]) for o, x in arg]
+        elif kind == "MAX_REPEAT":
+            some = [t * n for t in expanded(arg[2]) for n in {arg[0], 1}]
+        elif kind == "SUBPATTERN":
+            some = expanded(arg[3])
+        elif kind == "BRANCH":
+            some = [t for b in arg[1] for t in expanded(b)]
+        else:
+            assert kind in ("ASSERT", "AT"), kind
+            some = [""]
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_every_match_of_a_rule_passes_gate_and_keyword():
+    frames = {f for f, _, _ in L.FRAMES}
+    assert "{0}" in frames
+    for _, keyword, pattern, _, score in L.rules():
+        if score == 0.7:  # the bare names; a frame only adds words
+            for text in expanded(re._parser.parse(pattern)):
+                assert keyword in text, (keyword, text)
+                assert re.search(L.GATE, text) and re.search(L.GATE, text.upper().replace(" ", "-")), text
+
+
+def test_short_names_are_found(spark, tmp_path):
+    texts = {
+        "Licensed under the GPLv3": "gpl-3", "SPDX-License-Identifier: LGPL-2.1": "lgpl-2.1", "it is AGPL v3 code": "agpl-3", "GNU GPL": "gpl", "PSF License": "python-2", "the Expat license": "mit",
+        "Creative Commons Attribution-ShareAlike": "cc-by-sa", "Creative Commons Attribution": "cc-by", "Creative Commons Zero": "cc0", "CC0 1.0": "cc0", "BSD 3-clause": "bsd-3", "Apache 2.0": "apache-2",
+    }
+    got = run(spark, tmp_path, [(i, t, 5) for i, t in enumerate(texts)])
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values())) and all(r.score >= 0.7 for r in got)
+
+
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
