@@ -1,8 +1,8 @@
 """Language ID of mixed texts: script ranges, word scores, Viterbi with a switching penalty.
 
-Training takes a bounded sample of labelled rows (`per_lang` rows of each of the `most_langs`
-most frequent labels, in expectation, chosen by hash) and counts hashed letter trigrams per
-language on the executors. A word's score for a language is the sum of its trigrams' log
+Training takes a bounded sample of labelled rows (`per_lang` rows of each label, in expectation,
+chosen by hash) and counts hashed letter trigrams per language on the executors. With more labels
+than `CELLS / BUCKETS`, trigrams share fewer buckets, so that the model keeps its size; no label is left out. A word's score for a language is the sum of its trigrams' log
 probabilities. Languages that training never saw in a word's script are no candidates for it.
 Over the words of a text, Viterbi picks the labelling with the highest total, each change of
 language costing `penalty`; runs of equal labels are spans.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_slices
+from .common import SLICE_BYTES, mix64, small_side, table, text_slices, written
 
 #: First code points of Unicode script ranges, and a script number for each.
 RANGES = [
@@ -42,6 +42,8 @@ _SCRIPT = np.array([SCRIPTS.index(n) for _, n in RANGES], np.int8)
 #: Accented Latin letters occur in words of plain Latin letters: one script for candidates.
 _SCRIPT[_SCRIPT == SCRIPTS.index("latin-accents")] = SCRIPTS.index("latin")
 BUCKETS = 1 << 15
+#: Buckets times labels of a model, and the least number of buckets.
+CELLS, LEAST_BUCKETS = 1 << 23, 1 << 10
 _tables: list[np.ndarray] = []
 
 
@@ -104,7 +106,7 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> Letters:
 @dataclass
 class LanguageModel:
     langs: list[str]
-    scores: np.ndarray  # BUCKETS x langs, log probabilities
+    scores: np.ndarray  # buckets (a power of two) x langs, log probabilities
     allowed: np.ndarray  # scripts x langs
 
 
@@ -126,28 +128,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(np.where(key < BUCKETS, key, BUCKETS - 1 - key)), pa.array(own[key])], ["lang", "key", "n"])
 
 
-def train_languages(labelled: DataFrame, per_lang: int = 400, most_langs: int = 64, least_share: float = 0.005) -> LanguageModel:
-    """labelled: (doc_id, text, lang). At most most_langs x (buckets + scripts) counts reach the driver."""
+def train_languages(labelled: DataFrame, per_lang: int = 400, least_share: float = 0.005) -> LanguageModel:
+    """labelled: (doc_id, text, lang). At most labels x (buckets + scripts) counts reach the driver."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    if not sizes:
+    sizes = written(rows.groupBy("lang").count().select(F.col("lang").alias("of"), F.least(F.lit(1.0), per_lang / F.col("count")).alias("share")))
+    labels = sizes.count()
+    if not labels:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))])
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * labels > CELLS:
+        buckets //= 2
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(spread < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counts = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    sample = rows.join(small_side(sizes), F.col("lang") == F.col("of")).where(spread < F.col("share")).select("lang", "text")
+    folded = F.when(F.col("key") >= 0, F.col("key") % buckets).otherwise(F.col("key"))
+    counts = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", folded.alias("key")).agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(langs)}
     lang, key = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64), got.column("key").to_numpy()
     n = got.column("n").to_numpy()
-    table_, letters = np.full((BUCKETS, len(langs)), 0.2), np.zeros((len(SCRIPTS), len(langs)))
+    table_, letters = np.full((buckets, len(langs)), 0.2, np.float32), np.zeros((len(SCRIPTS), len(langs)))
     tri = key >= 0
     table_[key[tri], lang[tri]] += n[tri]
     letters[-1 - key[~tri], lang[~tri]] = n[~tri]
-    scores = np.log(table_ / table_.sum(0))
+    scores = np.log(table_ / table_.sum(0, dtype=np.float64)).astype(np.float32)
     allowed = letters >= least_share * np.maximum(letters.sum(0), 1)
-    return LanguageModel(langs, scores.astype(np.float32), allowed)
+    return LanguageModel(langs, scores, allowed)
 
 
 def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarray:
@@ -185,9 +191,9 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarra
         return label
     hard = hard[np.argsort(-length[hard], kind="stable")]
     at, size = starts[hard], length[hard]
-    back = np.zeros((n, k), np.int8)
+    back = np.zeros((n, k), np.int8 if k <= 128 else np.int32)
     now = score[at].copy()
-    own = np.arange(k, dtype=np.int8)[None, :]
+    own = np.arange(k, dtype=back.dtype)[None, :]
     active = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")  # documents longer than t
     for t in range(1, int(size[0])):
         m = active[t]
@@ -208,7 +214,7 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarra
 
 def label_slice(got: Letters, model: LanguageModel, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Label of each word, and whether its script has a candidate."""
-    score = np.add.reduceat(model.scores[got.bucket], got.first[:-1], axis=0).astype(np.float64)
+    score = np.add.reduceat(model.scores[got.bucket & (len(model.scores) - 1)], got.first[:-1], axis=0).astype(np.float64)
     allowed = model.allowed[got.script]
     some = allowed.any(1)
     score = np.where(allowed, score, np.where(some, -50.0, 0.0)[:, None] + score.min(1, keepdims=True))
@@ -225,8 +231,9 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array(m.langs, pa.string())
+        most = SLICE_BYTES * 64 // max(64, len(m.langs))
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
+            for a, b, data, offsets in text_slices(batch.column("text"), most):
                 got = letters_of(data, offsets)
                 d = b - a
                 pred, share = np.full(d, -1), np.zeros(d)

@@ -59,6 +59,20 @@ def test_viterbi_equals_brute_force(seed):
             assert score[np.arange(a, b), own].sum() - 6 * (own[1:] != own[:-1]).sum() == pytest.approx(best.max())
 
 
+def test_every_label_is_learnt(spark):
+    rng = np.random.default_rng(3)
+    word = lambda first, span: "".join(chr(first + x) for x in rng.integers(0, span, 6))
+    words = {f"l{i:03}": [word(97, 26) for _ in range(12)] for i in range(300)} | {"zz": [word(0x10D0, 33) for _ in range(12)]}
+    text = lambda name, k: " ".join(rng.choice(words[name], k))
+    rows_ = [(i, text(name, 40), name) for i, name in enumerate(x for n in words for x in [n] * (1 if n == "zz" else 2))]
+    model = L.train_languages(spark.createDataFrame(rows_, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words) and model.scores.size <= L.CELLS
+    asked = [(i, text(n, 20)) for i, n in enumerate(words)] + [(1000, text("l290", 30) + " " + text("zz", 10))]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(len(words))] == list(words) and got[300].score > 0.9
+    assert [s.lang for s in got[1000].spans] == ["l290", "zz"]
+
+
 def test_no_labels_and_empty_table(spark, tmp_path):
     assert run(spark, tmp_path / "a", []) == []
     got = run(spark, tmp_path / "b", [(1, "text", None, 0.1)])
