@@ -1,7 +1,7 @@
 """Secret scan with character Markov models, in DataFrame expressions only.
 
-Fixed patterns give the base spans. The method then takes every long run of
-key-like characters and compares two first-order character models, one of random
+Fixed patterns give the base spans. The method then takes every run of 20 or more
+key-like characters (shorter bare keys are missed, see README) and compares two first-order character models, one of random
 strings and one of ordinary identifiers, by log-likelihood ratio. Both models come
 from labelled samples; they are two arrays of 95 x 95 transition scores, so the
 scoring expression stays inside the JVM without any join.
