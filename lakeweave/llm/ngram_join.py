@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import mix64, small_side, table, text_slices, words_of, written
 
 GROUPS = 128
+#: The highest count a packed vector holds.
+MOST = (1 << 16) - 1
 SPARE = 2
 TILE = 1024
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -172,6 +174,18 @@ class RTree:
         return self.order[at[ok]]
 
 
+def packed(counts: np.ndarray) -> np.ndarray:
+    """Count vectors as 16-bit numbers; larger counts are held at the highest."""
+    return np.ascontiguousarray(np.minimum(counts, MOST).astype(np.uint16))
+
+
+def unpacked(vectors: list[bytes]) -> np.ndarray:
+    """Rows of packed vectors; a count held at the highest has no bound, so no minimum is too small."""
+    v = np.frombuffer(b"".join(vectors), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    v[v == MOST] = 1 << 30
+    return v
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -184,7 +198,7 @@ def _rows(docs: DataFrame, n: int, seed: int) -> DataFrame:
             for a, b, data, offsets in text_slices(batch.column("text")):
                 _, g, at = gram_sets(data, offsets, n, seed)
                 key, check = class_keys(g, at)
-                v = np.ascontiguousarray(count_vectors(g, at).astype(np.uint16))
+                v = packed(count_vectors(g, at))
                 vector = pa.Array.from_buffers(pa.binary(2 * GROUPS), b - a, [None, pa.py_buffer(v)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), _signed(key), _signed(check), pa.array(np.diff(at)), vector], ["row", "doc_id", "key", "check", "size", "vector"])
 
@@ -230,7 +244,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             sa, sb = (batch.column(f"size_{s}").to_numpy() for s in "ab")
-            va, vb = (np.frombuffer(b"".join(batch.column(f"vector_{s}").to_pylist()), np.uint16).reshape(-1, GROUPS) for s in "ab")
+            va, vb = (unpacked(batch.column(f"vector_{s}").to_pylist()) for s in "ab")
             ok = np.minimum(va, vb).sum(1, dtype=np.int64) >= t * (sa + sb) / (1 + t) - 1e-6
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
@@ -301,7 +315,7 @@ def _open_pairs(live: DataFrame, comp: DataFrame, sets: DataFrame, t: float) ->
             for i, j, m in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("m"), strict=True):
                 s = m.values
                 key, component, size, own = (s.field(c).to_numpy() for c in ("key", "component", "size", "own"))
-                v = np.frombuffer(b"".join(s.field("vector").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+                v = unpacked(s.field("vector").to_pylist())
                 a, b = (np.flatnonzero(own == x) for x in (i, j))
                 tree = RTree(v[b], size[b], component[b])
                 left, right = [], []

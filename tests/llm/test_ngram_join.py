@@ -101,5 +101,14 @@ def test_components_of_long_chains_converge(spark):
     assert {r.key: r.component for r in got} == {k: min(keys[:1000]) if i < 1000 else min(keys[1000:]) for i, k in enumerate(keys)}
 
 
+def test_large_counts_never_lower_the_bound():
+    counts = np.full((2, J.GROUPS), 65_530)
+    counts[0, :9], counts[1, :9] = 65_536, 65_540
+    size = counts.sum(1)
+    v = J.unpacked([x.tobytes() for x in J.packed(counts)])
+    assert (v >= counts).all() and (v[:, 9:] == counts[:, 9:]).all()
+    assert J.RTree(v[1:], size[1:], np.array([1])).search(v[0], int(size[0]), 0, 0.99).tolist() == [0]
+
+
 def test_empty_table(spark):
     assert J.join_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
