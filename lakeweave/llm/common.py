@@ -66,6 +66,58 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Hadoop's file system, so in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Written tables of one computation, deleted as soon as nothing that is still to be computed reads them.
+
+    Names are used again and again: a table goes when `close` is called, or when a newer one takes its name
+    (after that one has been written, since it may be made from the older one).
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.made = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.made[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.made:
+                remove(self.spark, self.made.pop(name))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df written outside the scratch folder, which goes with all its tables."""
+        out = written(df)
+        self.close()
+        return out
+
+    def close(self) -> None:
+        self.made.clear()
+        remove(self.spark, self.base)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df, written first if its rows come out of a shuffle: these may fall elsewhere when it runs again."""
+    return written(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number for each row, the same however often df is read and whichever columns are used.
+
+    The number is a function of the file and the place in it, or of the place in what `stable` has written.
+    """
+    return stable(df).withColumn(name, F.monotonically_increasing_id())
+
+
 #: Rows of a few numbers that may be broadcast; more are joined by a shuffle that hashes them.
 BROADCAST_ROWS = 300_000
 

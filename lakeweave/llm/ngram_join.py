@@ -1,9 +1,9 @@
 """N-gram Jaccard join with count vectors in R-trees.
 
-Texts with equal n-gram sets are one class. A class's set is hashed to a count vector of `GROUPS`
-coordinates. For sets A and B the overlap is at most the sum over coordinates of the smaller count,
-and a link needs an overlap of t (|A| + |B|) / (1 + t), so the two differ in at most
-d = (|A| + |B|) (1 - t) / (1 + t) n-grams.
+Texts with equal n-gram sets are one class. A class's set is hashed to a count vector whose number of groups follows
+the set's size (a power of two; wider vectors fold to narrower ones by adding their halves). For sets A and B the
+overlap is at most the sum over groups of the smaller count, and a link needs an overlap of
+t (|A| + |B|) / (1 + t), so the two differ in at most d = (|A| + |B|) (1 - t) / (1 + t) n-grams.
 
 Where the trees stand: boxes around vectors of unrelated texts widen in every coordinate, so one tree
 over all vectors would prune little. The first level therefore deals sets to cells. Sizes fall in bands
@@ -11,13 +11,19 @@ at most 1/t wide; linked sets are in one band or in neighbouring ones, and each
 and the next. In a band, n-grams are dealt by hash into d + 1 + SPARE blocks. Linked sets agree wholly in
 at least 1 + SPARE blocks, so they share a cell (band, block, block content): one with content if either has at
 most SPARE empty blocks, else an empty one, which only sets with more empty blocks visit. No link is lost.
+Sets of one cell that meet in one Arrow batch are tied to the smallest of them there, and only that one goes on to
+the cell, so a hot cell gets a row for each batch at most.
 
-First, each set of a cell is paired with the cell's first set; of the pairs that the bound leaves, one of each set
-is verified, then those that still join different components. Vectors are small and kept for every class; texts are fetched for what the bound leaves only. Then every cell that still holds several components packs its vectors into an R-tree (sort-tile
-order, boxes of minima and maxima); each set walks it with the bound of summed minima, leaving boxes that
-cannot reach the overlap and boxes of its own component. What survives is verified on the texts. A cell is
-solved in pairs of tiles of about `TILE` sets, so no task holds a whole large cell, and near copies,
-however many, are connected by the first step without listing their pairs.
+First, each set is paired with the first set of its cells; of the pairs that the bound leaves, one of each set
+is verified, then those that still join different components. Then every cell whose other sets still are of several
+components (one of all cells with the same sets) packs its vectors into R-trees: boxes of maxima, with the bound of summed
+minima, leaving boxes that cannot reach the overlap and boxes of one's own component. A cell is solved in
+tiles of about `TILE` sets and in pairs of tiles; a component of more sets has tiles of its own, which do not meet.
+Of the pairs that the bound leaves, a tile gives a forest over its components, not all pairs. What verification
+then refuses may have hidden others, so cells with refused and hidden pairs are solved again, with ever more forests,
+until nothing is hidden.
+
+Verification sends a text once for each `CHUNK` of its partners, and reads them one after another.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; a text with fewer words
 than n is one n-gram; repeated rows and equal texts are one class; a null doc_id is never a component's
@@ -31,16 +37,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small_side, table, text_slices, words_of, written
+from .common import Scratch, mix64, numbered, small_side, table, text_slices, words_of
 
-GROUPS = 128
-#: The highest count a packed vector holds.
-MOST = (1 << 16) - 1
+#: Least and largest number of groups of a count vector; between them a quarter to half of the set's size.
+LEAST_GROUPS, MOST_GROUPS = 32, 8192
+#: The highest count a packed vector holds; it stands for any count from it on.
+MOST = 255
 SPARE = 2
 TILE = 1024
+#: Partners of a text that are compared with one copy of it.
+CHUNK = 256
+#: A tile gives all pairs that the bound leaves if these are at most so many for each set, else forests.
+FEW = 8
+#: Beyond so many forests, all pairs.
+FORESTS = 512
+#: Queries that walk a tree together.
+TOGETHER = 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -122,12 +138,51 @@ def signatures(g: np.ndarray, at: np.ndarray, t: float, first_sizes: np.ndarray)
     return np.concatenate(whos), np.concatenate(cells)
 
 
-def count_vectors(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """GROUPS counts of each set."""
-    d = len(at) - 1
-    who = np.repeat(np.arange(d), np.diff(at))
-    group = (mix64(g ^ _ODD[2]) >> np.uint64(7)) % np.uint64(GROUPS)
-    return np.bincount(who * GROUPS + group.astype(np.int64), minlength=d * GROUPS).reshape(d, GROUPS)
+def widths(size: np.ndarray) -> np.ndarray:
+    """Number of groups of each set's count vector."""
+    return 1 << np.clip(np.frexp(size.astype(float))[1] - 2, LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1)
+
+
+def count_vectors(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed count vectors of all sets, one after another, and their offsets; higher counts are held at MOST."""
+    width = widths(np.diff(at))
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
+    who = np.repeat(np.arange(len(width)), np.diff(at))
+    group = ((mix64(g ^ _ODD[2]) >> np.uint64(7)) & (width[who] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(offsets[who] + group, minlength=int(offsets[-1]))
+    return np.minimum(counts, MOST).astype(np.uint8), offsets
+
+
+def matrix(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Packed vectors as rows of one width, the least; counts at MOST have no bound, so that no minimum is too small."""
+    width = np.diff(offsets)
+    least = int(width.min())
+    v = np.zeros((len(width), least), np.uint8)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        v[at] = _gathered(data, offsets, at, least)
+    return np.where(v == MOST, 1 << 40, v.astype(np.int64)) if (v == MOST).any() else v
+
+
+def _buffers(vector: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary array."""
+    vector = vector.cast(pa.large_binary())
+    return np.frombuffer(vector.buffers()[2], np.uint8), np.frombuffer(vector.buffers()[1], np.int64)[vector.offset : vector.offset + len(vector) + 1]
+
+
+def _gathered(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Packed vectors of rows that all have one width, folded to `width`."""
+    own = int(offsets[at[0] + 1] - offsets[at[0]])
+    v = data[offsets[at][:, None] + np.arange(own)]
+    while own > width:
+        own //= 2
+        v = np.minimum(v[:, :own].astype(np.uint16) + v[:, own:], MOST).astype(np.uint8)
+    return v
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed minima."""
+    return np.minimum(x, y).sum(-1, dtype=np.int64)
 
 
 def linked(inter, total, percent: int):
@@ -140,50 +195,67 @@ class RTree:
 
     LEAF, FAN = 16, 16
 
-    def __init__(self, vectors: np.ndarray, size: np.ndarray, component: np.ndarray):
+    def __init__(self, vectors: np.ndarray, size: np.ndarray):
         # Sort by size into slabs, and within a slab by the widest coordinate.
         slab = np.argsort(np.argsort(size, kind="stable"), kind="stable") // (self.LEAF * self.FAN)
-        wide = vectors[:, np.argmax(vectors.max(0) - vectors.min(0))] if len(vectors) else size
-        self.order = np.lexsort((wide, slab))
-        self.v, self.size, self.component = vectors[self.order], size[self.order], component[self.order]
-        self.leaf = self._boxes(np.arange(0, len(self.v), self.LEAF), self.v, self.size, self.size, self.component, self.component)
-        high, least, most, low_c, high_c = self.leaf
-        self.node = self._boxes(np.arange(0, len(high), self.FAN), high, least, most, low_c, high_c)
+        self.order = np.lexsort((vectors[:, np.argmax(vectors.max(0).astype(np.int64) - vectors.min(0))], slab))
+        self.v, self.size = vectors[self.order], size[self.order]
+        self.leaf = self._boxes(np.arange(0, len(self.v), self.LEAF), self.v, self.size, self.size)
+        self.node = self._boxes(np.arange(0, len(self.leaf[0]), self.FAN), *self.leaf)
 
     @staticmethod
-    def _boxes(cut, high, least, most, low_c, high_c):
-        if not len(cut):
-            return high, least, most, low_c, high_c
-        return np.maximum.reduceat(high, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.minimum.reduceat(low_c, cut), np.maximum.reduceat(high_c, cut)
+    def _boxes(cut, high, least, most):
+        return np.maximum.reduceat(high, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
 
-    def search(self, v: np.ndarray, size: int, component: int, t: float) -> np.ndarray:
-        """Positions (of the constructor's rows) that may link with v and are of another component."""
+    def search(self, v: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, position among the constructor's rows) of pairs that may link; the queries walk together."""
 
         def open_(box, at):
-            high, least, most, low_c, high_c = (x[at] for x in box)
-            need = t * (size + np.maximum(least, math.ceil(t * size - 1e-9))) / (1 + t) - 1e-6
-            ok = (np.minimum(high, v).sum(1) >= need) & (most >= t * size - 1e-6) & (least <= size / t + 1e-6)
-            return at[ok & ~((low_c == component) & (high_c == component))]
+            high, least, most = (x[at] for x in box)
+            q = size[:, None]
+            need = t * (q + np.maximum(least, np.ceil(t * q - 1e-9))) / (1 + t) - 1e-6
+            return (most >= t * q - 1e-6) & (least <= q / t + 1e-6) & (_overlap(v[:, None], high[None]) >= need)
 
         at = np.arange(len(self.node[0]))
         for box, fan, count in ((self.node, self.FAN, len(self.leaf[0])), (self.leaf, self.LEAF, len(self.v))):
-            at = open_(box, at)
+            if count > self.LEAF:
+                at = at[open_(box, at).any(0)]
             at = (at[:, None] * fan + np.arange(fan)).ravel()
             at = at[at < count]
-        ok = (np.minimum(self.v[at], v).sum(1) >= t * (size + self.size[at]) / (1 + t) - 1e-6) & (self.component[at] != component)
-        return self.order[at[ok]]
-
+        q, x = np.nonzero(open_((self.v, self.size, self.size), at))
+        return q, self.order[at[x]]
 
-def packed(counts: np.ndarray) -> np.ndarray:
-    """Count vectors as 16-bit numbers; larger counts are held at the highest."""
-    return np.ascontiguousarray(np.minimum(counts, MOST).astype(np.uint16))
 
+def forests(v: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, t: float, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (of left, of right) of different components that the bound leaves, and whether pairs were left out.
 
-def unpacked(vectors: list[bytes]) -> np.ndarray:
-    """Rows of packed vectors; a count held at the highest has no bound, so no minimum is too small."""
-    v = np.frombuffer(b"".join(vectors), np.uint16).reshape(-1, GROUPS).astype(np.int32)
-    v[v == MOST] = 1 << 30
-    return v
+    If there are many, they make at most `most` forests over the components: a pair goes to the first forest that does
+    not yet join its ends, so what is left out has ends that every forest joins.
+    """
+    tree, found = RTree(v[right], size[right]), []
+    for a in range(0, len(left), TOGETHER):
+        own = left[a : a + TOGETHER]
+        if component[own].min() == component[own].max() == component[right].min() == component[right].max():
+            continue
+        q, x = tree.search(v[own], size[own], t)
+        q, x = own[q], right[x]
+        keep = (component[q] != component[x]) & ((q < x) if left is right else True)
+        found.append((q[keep], x[keep]))
+    q, x = (np.concatenate([f[i] for f in found]) if found else left[:0] for i in (0, 1))
+    if len(q) <= FEW * most * len(v) or most > FORESTS:
+        return list(zip(q.tolist(), x.tolist(), strict=True)), False
+    start = np.unique(component, return_inverse=True)[1].ravel()
+    labels = [start.copy() for _ in range(most)]
+    last, pairs = labels[-1], []
+    cut = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(q)], strict=True):
+        one, hits = int(q[a]), x[a:b]
+        while len(hits := hits[last[hits] != last[one]]):
+            own = next(lab for lab in labels if lab[one] != lab[hits[0]])
+            own[own == own[hits[0]]] = own[one]
+            pairs.append((one, int(hits[0])))
+            hits = hits[1:]
+    return pairs, len(pairs) < len(q)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -198,19 +270,44 @@ def _rows(docs: DataFrame, n: int, seed: int) -> DataFrame:
             for a, b, data, offsets in text_slices(batch.column("text")):
                 _, g, at = gram_sets(data, offsets, n, seed)
                 key, check = class_keys(g, at)
-                v = packed(count_vectors(g, at))
-                vector = pa.Array.from_buffers(pa.binary(2 * GROUPS), b - a, [None, pa.py_buffer(v)]).cast(pa.binary())
+                v, cut = count_vectors(g, at)
+                vector = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut), pa.py_buffer(v)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), _signed(key), _signed(check), pa.array(np.diff(at)), vector], ["row", "doc_id", "key", "check", "size", "vector"])
 
     return docs.mapInArrow(run, "row long, doc_id long, key long, check long, size long, vector binary")
 
 
+#: Rows of cells that a task holds before it ties those that met.
+HELD = 2_000_000
+
+
 def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
-    """(cell, key) of every class; copies met again in a task are left out."""
+    """(place, cell, key, anchor) of every class; copies met again in a task are left out.
+
+    The sets that meet in a cell here: the first has place = cell (cell and anchor null), each other one the first as
+    anchor and a place of its own.
+    """
     first_sizes = bands(t)
 
+    def tied(cells, keys):
+        cell, key = np.concatenate(cells), np.concatenate(keys)
+        order = np.lexsort((key, cell))
+        cell, key = cell[order], key[order]
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        again = ~new
+        again[1:] &= key[1:] != key[:-1]
+        anchor = key[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        keep = new | again
+        cell, key, anchor, again = cell[keep], key[keep], anchor[keep], again[keep]
+        place = np.where(again, mix64(cell ^ mix64(key)), cell)
+        null = pa.array(~again)
+        only = lambda x: pa.Array.from_buffers(pa.int64(), len(x), [pa.compute.invert(null).buffers()[1], pa.py_buffer(np.ascontiguousarray(np.where(again, x, 0)).view(np.int64))])
+        return pa.RecordBatch.from_arrays([_signed(place), only(cell), _signed(key), only(anchor)], ["place", "cell", "key", "anchor"])
+
     def run(batches):
         seen: set[int] = set()
+        cells, keys, held = [], [], 0
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 _, g, at = gram_sets(data, offsets, n, seed)
@@ -223,113 +320,235 @@ def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
                             seen.add(k)
                 who, cell = signatures(g, at, t, first_sizes)
                 keep = fresh[who]
-                yield pa.RecordBatch.from_arrays([_signed(cell[keep]), _signed(key[who[keep]])], ["cell", "key"])
+                cells.append(cell[keep]), keys.append(key[who[keep]])
+                held += len(cells[-1])
+                if held > HELD:
+                    yield tied(cells, keys)
+                    cells, keys, held = [], [], 0
+        if held:
+            yield tied(cells, keys)
+
+    return docs.select("text").mapInArrow(run, "place long, cell long, key long, anchor long")
 
-    return docs.select("text").mapInArrow(run, "cell long, key long")
 
+def _met(pairs: DataFrame, payload, columns: list[str]) -> DataFrame:
+    """Both sides of pairs (a, b), one after another: (a, part, later, key, *columns), sorted by a, part and later.
 
-def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text) of every class in pairs (a, b)."""
-    used = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = written(used.join(classes, "key").select("key", "first_row"))
-    return written(docs.join(small_side(wanted), docs["row"] == F.col("first_row")).select("key", "text"))
+    Partners of one a are cut into parts of about CHUNK; each part begins with a itself (later = 0).
+    payload takes rows with a key and adds the columns.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts")).withColumnRenamed("a", "hub")
+    dealt = pairs.join(many.hint("shuffle_hash"), F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    partners = dealt.select("a", "part", F.lit(1).alias("later"), F.col("b").alias("key"))
+    hubs = dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("later"), F.col("a").alias("key"))
+    full = payload(partners.union(hubs)).select("a", "part", "later", "key", *columns)
+    return full.repartition("a", "part").sortWithinPartitions("a", "part", "later")
+
+
+def summed_minima(data: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bound of the overlap of rows x and rows y; unbounded where both hold a count at MOST."""
+    out, width = np.zeros(len(x), np.int64), np.diff(offsets)
+    code = width[x] * (MOST_GROUPS + 1) + width[y]
+    for c in np.unique(code).tolist():
+        least, every = min(divmod(c, MOST_GROUPS + 1)), np.flatnonzero(code == c)
+        step = max(1, (4 << 20) // max(divmod(c, MOST_GROUPS + 1)))
+        for a in range(0, len(every), step):
+            at = every[a : a + step]
+            m = np.minimum(_gathered(data, offsets, x[at], least), _gathered(data, offsets, y[at], least))
+            out[at] = np.where((m == MOST).any(1), 1 << 40, m.sum(1, dtype=np.int64))
+    return out
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """Pairs (a, b) whose sizes and summed minima allow a link; sets: (key, size, vector)."""
-    light = sets
-    x, y = (light.select(*[F.col(c).alias(f"{c}_{s}") for c in light.columns]) for s in "ab")
-    j = pairs.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b")).select("a", "b", "size_a", "size_b", "vector_a", "vector_b")
+    named = sets.select(F.col("key").alias("k"), "size", "vector")
 
     def run(batches):
+        hub = None
         for batch in batches:
-            sa, sb = (batch.column(f"size_{s}").to_numpy() for s in "ab")
-            va, vb = (unpacked(batch.column(f"vector_{s}").to_pylist()) for s in "ab")
-            ok = np.minimum(va, vb).sum(1, dtype=np.int64) >= t * (sa + sb) / (1 + t) - 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
+            # The last hub of the batch before goes first.
+            batch = batch.select(["later", "key", "size", "vector"])
+            batch = pa.Table.from_batches([batch] if hub is None else [hub, batch]).combine_chunks().to_batches()[0] if batch.num_rows else batch
+            if not batch.num_rows:
+                continue
+            later, key, size = (np.asarray(batch.column(c)) for c in ("later", "key", "size"))
+            place = np.maximum.accumulate(np.where(later == 0, np.arange(len(key)), 0))
+            hub = batch.slice(int(place[-1]), 1)
+            y = np.flatnonzero((later == 1) & (np.minimum(size, size[place]) >= t * np.maximum(size, size[place]) - 1e-6))
+            over = summed_minima(*_buffers(batch.column("vector")), place[y], y)
+            y = y[over >= t * (size[y] + size[place[y]]) / (1 + t) - 1e-6]
+            yield pa.RecordBatch.from_arrays([pa.array(key[place[y]]), pa.array(key[y])], ["a", "b"])
+
+    met = _met(pairs, lambda roles: roles.join(named, F.col("key") == F.col("k")), ["size", "vector"])
+    return met.mapInArrow(run, "a long, b long")
+
 
-    return j.mapInArrow(run, "a long, b long")
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, full: DataFrame, n: int, seed: int, percent: int) -> DataFrame:
-    """Links among pairs (a, b), decided on the n-gram sets of both texts; full: (key, text)."""
-    x, y = (full.select(*[F.col(c).alias(f"{c}_{s}") for c in full.columns]) for s in "ab")
-    j = pairs.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b")).select("a", "b", "text_a", "text_b")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Scratch, n: int, seed: int, percent: int) -> DataFrame:
+    """Links among pairs (a, b), decided on the n-gram sets of both texts."""
+
+    def texts(roles):
+        wanted = work.write("wanted", roles.join(classes.select(F.col("key").alias("k"), F.col("first_row")), F.col("key") == F.col("k")).drop("k"))
+        return docs.join(small_side(wanted), docs["row"] == F.col("first_row"))
 
     def run(batches):
+        hub = None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                u, v = (np.frombuffer(z.as_py().encode("utf-8", "surrogatepass"), np.uint8) for z in (p, q))
-                g, h = (gram_sets(z, np.array([0, len(z)]), n, seed)[1] for z in (u, v))
-                keep[i] = linked(len(np.intersect1d(g, h, assume_unique=True)), len(g) + len(h), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            out, later, key = [], batch.column("later").to_pylist(), batch.column("key").to_pylist()
+            for first, _, data, offsets in text_slices(batch.column("text")):
+                _, g, at = gram_sets(data, offsets, n, seed)
+                for i in range(len(at) - 1):
+                    own = g[at[i] : at[i + 1]]
+                    if not later[first + i]:
+                        hub = key[first + i], own.copy()
+                        continue
+                    small, large = (own, hub[1]) if len(own) < len(hub[1]) else (hub[1], own)
+                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    if linked(int((large[place] == small).sum()), len(small) + len(large), percent):
+                        out.append((hub[0], key[first + i]))
+            yield _pairs(out)
+
+    return _met(pairs, texts, ["text"]).mapInArrow(run, "a long, b long")
 
-    return j.mapInArrow(run, "a long, b long")
 
+def _shortened(links: DataFrame) -> DataFrame:
+    """Links with the same components: of those that a task holds at once, each end with the smallest key it reaches there."""
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, component) of every end of a link: smallest reachable key, by contraction.
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x):
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        def stars():
+            return _pairs([(find(x), x) for x in root if root[x] != x])
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+            if len(root) > HELD:
+                yield stars()
+                root.clear()
+        yield stars()
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame, work: Scratch, known: DataFrame | None = None, name: str = "components") -> DataFrame:
+    """(key, component) of every end of a link: smallest reachable key, by contraction; known: what earlier links gave.
 
     Each root goes under its smallest neighbour if that is smaller, chains are followed to their ends, and links
     between the roots that are left go on. A root that stays without a gain has a neighbour that went under a still smaller one,
     so it goes in the next round: roots at least halve in two rounds, whatever the keys.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    state = written(links.select(F.col("a").alias("key")).union(links.select("b")).distinct().withColumn("component", F.col("key")))
+    if known is not None:
+        links = _apart(links, known, root=True)
+    edges = _shortened(links)
+    edges = work.write("edges", edges.union(edges.select("b", "a")).where("a <> b").distinct())
+    state = work.write("reached", edges.select(F.col("a").alias("key")).distinct().withColumn("component", F.col("key")))
     while not edges.isEmpty():
-        to = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("root")))
+        to = work.write("roots", edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("root")))
         moved = True
         while moved:
-            up = small_side(to.select(F.col("from").alias("f2"), F.col("root").alias("r2")))
-            after = written(to.join(up, F.col("root") == F.col("f2")).select("from", F.col("r2").alias("root"), F.col("root").alias("before")))
+            once, twice = (small_side(to.select(F.col("from").alias(f"f{i}"), F.col("root").alias(f"r{i}"))) for i in (1, 2))
+            after = to.join(once, F.col("root") == F.col("f1")).join(twice, F.col("r1") == F.col("f2"))
+            after = work.write("roots", after.select("from", F.col("r2").alias("root"), F.col("r1").alias("before")))
             to, moved = after.drop("before"), not after.where("root <> before").isEmpty()
-        state = written(state.join(small_side(to), F.col("component") == F.col("from"), "left").select("key", F.coalesce("root", "component").alias("component")))
-        x, y = (small_side(to.select(F.col("from").alias(f"f{s}"), F.col("root").alias(f"r{s}"))) for s in "ab")
+        up = small_side(to)
+        state = work.write("reached", state.join(up, F.col("component") == F.col("from"), "left").select("key", F.coalesce("root", "component").alias("component")))
+        x, y = (up.select(F.col("from").alias(f"f{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
         between = edges.join(x, F.col("a") == F.col("fa")).join(y, F.col("b") == F.col("fb")).where("ra <> rb")
-        edges = written(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        edges = work.write("edges", between.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if known is not None:
+        gone = state.select(F.col("key").alias("from"), F.col("component").alias("root"))
+        new = state.join(known.select("key"), "key", "left_anti")
+        state = known.join(gone, F.col("component") == F.col("from"), "left").select("key", F.coalesce("root", "component").alias("component")).union(new)
+    state = work.write(name, state)
+    work.drop("edges", "roots", "reached")
     return state
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ends are not yet in one component."""
+def _apart(pairs: DataFrame, comp: DataFrame, *more: str, root: bool = False) -> DataFrame:
+    """Pairs (a, b) whose ends are not yet in one component; root gives the components instead of the ends."""
     x, y = (comp.select(F.col("key").alias(f"k{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
     j = pairs.join(x, F.col("a") == F.col("ka"), "left").join(y, F.col("b") == F.col("kb"), "left")
-    return j.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    p, q = F.coalesce("ca", "a"), F.coalesce("cb", "b")
+    return j.where(p != q).select(*([p.alias("a"), q.alias("b")] if root else ["a", "b"]), *more)
+
+
+def _open_cells(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(cell, key, component) of cells (cell, key) with several components, one of all cells with the same keys."""
+    named = members.join(comp.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select("cell", "key", F.coalesce("component", "key").alias("component"))
+    sums = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
+    cells = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *sums).where("lo <> hi")
+    one = cells.groupBy("n", "x", "y").agg(F.min("cell").alias("c"))
+    return named.join(one.select("c"), F.col("cell") == F.col("c")).drop("c")
 
 
-def _open_pairs(live: DataFrame, comp: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Pairs of different components that an R-tree search in some cell leaves."""
-    of = comp.select(F.col("key").alias("k"), "component")
-    members = live.select("cell", "key").union(live.select("cell", F.col("anchor").alias("key"))).distinct()
-    named = written(members.join(of, members["key"] == of["k"], "left").select("cell", "key", F.coalesce("component", "key").alias("component")))
-    open_ = named.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(F.col("cell").alias("c"), F.ceil(F.col("n") / F.lit(TILE)).alias("tiles"))
-    tile = F.pmod(F.xxhash64("key"), F.col("tiles"))
-    dealt = named.join(open_, named["cell"] == open_["c"]).select("cell", "key", "component", tile.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    light = sets.select(F.col("key").alias("k"), "size", "vector")
-    full = dealt.join(light, dealt["key"] == light["k"]).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    groups = full.groupBy("cell", "i", "j").agg(F.collect_list(F.struct("key", "component", "size", "own", "vector")).alias("m"))
+def _tiles(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cell, own, part, lo, hi, m) of open cells: m lists about TILE sets; own is the component of tiles with only one."""
+    by = open_.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    small = F.when(F.col("n") <= TILE, F.col("n")).otherwise(0)
+    rest = by.groupBy("cell").agg(F.sum(small).alias("rest")).withColumnRenamed("cell", "c2")
+    parts = by.join(rest, F.col("cell") == F.col("c2")).select(
+        F.col("cell").alias("c"), F.col("component").alias("o"), F.when(F.col("n") > TILE, F.col("component")).alias("own"),
+        F.ceil(F.when(F.col("n") > TILE, F.col("n")).otherwise(F.col("rest")) / F.lit(TILE)).alias("parts"),
+    )
+    part = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("component")).otherwise(F.col("key"))), F.col("parts"))
+    dealt = open_.join(parts, (F.col("cell") == F.col("c")) & (F.col("component") == F.col("o"))).select("cell", "own", part.alias("part"), "key", "component")
+    return _listed(dealt, sets, "cell", "own", "part")
+
+
+def _listed(open_: DataFrame, sets: DataFrame, *by: str) -> DataFrame:
+    """Components' range and members m with their vectors of each group."""
+    full = open_.join(sets.select(F.col("key").alias("k"), "size", "vector"), F.col("key") == F.col("k"))
+    return full.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("key", "component", "size", "vector")).alias("m"))
+
+
+def _candidates(open_: DataFrame, sets: DataFrame, work: Scratch, t: float, most: int) -> DataFrame:
+    """(cell, a, b) that tiles of open cells, and pairs of tiles of a cell, leave; a row without a pair tells that pairs were left out."""
 
     def run(batches):
         for batch in batches:
-            for i, j, m in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("m"), strict=True):
-                s = m.values
-                key, component, size, own = (s.field(c).to_numpy() for c in ("key", "component", "size", "own"))
-                v = unpacked(s.field("vector").to_pylist())
-                a, b = (np.flatnonzero(own == x) for x in (i, j))
-                tree = RTree(v[b], size[b], component[b])
-                left, right = [], []
-                for q in a.tolist():
-                    hit = b[tree.search(v[q], int(size[q]), int(component[q]), t)]
-                    if i == j:
-                        hit = hit[key[hit] > key[q]]
-                    left += [key[q]] * len(hit)
-                    right += key[hit].tolist()
-                if left:
-                    x, y = np.array(left), np.array(right)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long").distinct()
+            out: list = []
+            for i, cell in enumerate(batch.column("cell").to_pylist()):
+                sides = [batch.column(c)[i].values for c in batch.schema.names[1:]]
+                key, component, size = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("key", "component", "size"))
+                v = matrix(*_buffers(pa.concat_arrays([s.field("vector").cast(pa.large_binary()) for s in sides])))
+                every = np.arange(len(key))
+                left, right = (every, every) if len(sides) == 1 else (every[: len(sides[0])], every[len(sides[0]) :])
+                pairs, hidden = forests(v, size, component, left, right, t, most)
+                out += [(cell, min(key[x], key[y]), max(key[x], key[y])) for x, y in pairs]
+                if hidden:
+                    out.append((cell, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([None if r[k] is None else int(r[k]) for r in out], pa.int64()) for k in range(3)], ["cell", "a", "b"])
+
+    schema = "cell long, a long, b long"
+    large = work.write("large", open_.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select(F.col("cell").alias("l")))
+    if large.isEmpty():
+        return _listed(open_, sets, "cell").select("cell", "m").mapInArrow(run, schema)
+    is_large = F.col("cell") == F.col("l")
+    tiles = work.write("tiles", _tiles(open_.join(large, is_large, "left_semi"), sets))
+    names = tiles.select("cell", "own", "part")
+    x, y = (names.select(F.col("cell").alias(f"c{s}"), F.col("own").alias(f"o{s}"), F.col("part").alias(f"p{s}")) for s in "xy")
+    first = lambda s: F.struct(F.coalesce(f"o{s}", F.lit(0)), F.col(f"o{s}").isNull(), F.col(f"p{s}"))
+    # Tiles of one component do not meet.
+    two = x.join(y, F.col("cx") == F.col("cy")).where((first("x") < first("y")) & ~F.coalesce(F.col("ox") == F.col("oy"), F.lit(False)))
+    p, q = (tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cell", "own", "part", "m")]) for s in "pq")
+    same = lambda s, z: (F.col(f"c{z}") == F.col(f"cell_{s}")) & F.col(f"o{z}").eqNullSafe(F.col(f"own_{s}")) & (F.col(f"p{z}") == F.col(f"part_{s}"))
+    across = two.join(p, same("p", "x")).join(q, same("q", "y")).select(F.col("cx").alias("cell"), "m_p", "m_q")
+    inside = _listed(open_.join(large, is_large, "left_anti"), sets, "cell").select("cell", "m").union(tiles.where("lo <> hi").select("cell", "m"))
+    return inside.mapInArrow(run, schema).union(across.mapInArrow(run, schema))
 
 
 def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int = 0, groups: bool = False) -> DataFrame:
@@ -337,37 +556,61 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
 
     groups adds `group`, a key per component that does not depend on doc_id (null for empty sets).
     """
-    t = percent / 100
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(_rows(docs, n, seed))
-    classes = written(rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("check").alias("c1"), F.max("check").alias("c2")))
+    t, work = percent / 100, Scratch(docs.sparkSession)
+    docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = work.write("rows", _rows(docs, n, seed))
+    classes = work.write("classes", rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("check").alias("c1"), F.max("check").alias("c2")))
     if not classes.where("c1 <> c2").isEmpty():
-        return join_components(docs, n, percent, seed + 1, groups)
-    by_cell = Window.partitionBy("cell").orderBy("key")
-    live = written(_cells(docs, n, seed, t).withColumn("anchor", F.first("key").over(by_cell)).where("anchor <> key").distinct())
-    stars = written(live.select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct())
-    sets = written(rows.join(classes.select("first_row"), F.col("row") == F.col("first_row")).select("key", "size", "vector"))
-    likely = written(_bounded(stars, sets, t))
+        work.close()
+        return join_components(docs.drop("row"), n, percent, seed + 1, groups)
+    by_place = Window.partitionBy("place").orderBy("key")
+    live = _cells(docs, n, seed, t).withColumn("first", F.first("key").over(by_place)).where("anchor is not null or first <> key")
+    live = live.select(F.coalesce("cell", "place").alias("cell"), "key", F.coalesce("anchor", "first").alias("anchor"))
+    members = work.write("members", live.select("cell", "key").union(live.select("cell", F.col("anchor").alias("key"))).distinct())
+    first = members.groupBy("cell").agg(F.min("key").alias("anchor")).withColumnRenamed("cell", "c")
+    live = work.write("live", members.join(first, F.col("cell") == F.col("c")).where("key <> anchor").select("cell", "key", "anchor"))
+    stars = work.write("stars", live.select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct())
+    work.drop("members")
+    used = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
+    chosen = work.write("chosen", classes.join(used, "key", "left_semi").select("first_row"))
+    sets = work.write("sets", rows.join(small_side(chosen), F.col("row") == F.col("first_row")).select("key", "size", "vector"))
+    likely = work.write("likely", _bounded(stars, sets, t))
+    work.drop("stars", "chosen")
+
+    def joined(pairs, known=None):
+        links = work.write("links", _verified(pairs, docs, classes, work, n, seed, percent))
+        return components(links, work, known)
+
     # One pair of each set connects most; then only pairs of different components are left to verify.
-    one = written(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = written(_verified(one, _texts(docs, classes, one), n, seed, percent))
-    comp = components(links)
-    apart = written(_apart(likely, comp).join(one, ["a", "b"], "left_anti"))
+    tested = work.write("tested", likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    comp = joined(tested)
+    apart = work.write("apart", _apart(likely, comp).join(tested, ["a", "b"], "left_anti"))
     if not apart.isEmpty():
-        links = written(links.union(_verified(apart, _texts(docs, classes, apart), n, seed, percent)))
-        comp = components(links)
-    rest = written(_open_pairs(live, comp, sets, t).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = written(_verified(rest, _texts(docs, classes, rest), n, seed, percent))
-        if not more.isEmpty():
-            comp = components(links.union(more))
+        comp = joined(apart, comp)
+        tested = work.write("tested", tested.union(apart))
+    # Each cell's first set has met all others there.
+    open_, most = work.write("open", _open_cells(live.select("cell", "key"), comp)), 1
+    work.drop("live", "likely")
+    while not open_.isEmpty():
+        found = work.write("found", _candidates(open_, sets, work, t, most))
+        work.drop("tiles")
+        fresh = work.write("fresh", found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            comp = joined(fresh, comp)
+            tested = work.write("tested", tested.union(fresh))
+        # Where all pairs of a cell's forest proved to be links, what they hid is connected, too.
+        hidden = found.where("a is null").select(F.col("cell").alias("h")).distinct()
+        failed = _apart(found.where("a is not null"), comp, "cell").select(F.col("cell").alias("f")).distinct()
+        again = hidden.join(failed, F.col("h") == F.col("f"), "left_semi")
+        open_ = work.write("open", _open_cells(open_.select("cell", "key").join(again, F.col("cell") == F.col("h"), "left_semi"), comp))
+        most *= 8
     named = comp.select(F.col("key").alias("k"), "component")
     own = classes.select("key", "least").join(named, F.col("key") == F.col("k"), "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
-    lookup = written(own.join(smallest, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id", F.col("component").alias("group")))
+    lookup = own.join(smallest, F.col("component") == F.col("c")).select(F.col("key").alias("k"), "component_id", F.col("component").alias("group"))
     filled = rows.where("size > 0").join(lookup, F.col("key") == F.col("k")).select("row", "doc_id", "size", "component_id", "group")
     empty = rows.where("size = 0").select("row", "doc_id", "size", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
-    out = filled.union(empty).withColumnRenamed("size", "n_shingles")
+    out = work.keep(filled.union(empty).withColumnRenamed("size", "n_shingles"))
     return out if groups else out.drop("group")
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lakeweave.llm import ngram_join as J
+from lakeweave.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -60,22 +61,82 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("n", "percent", "tile"), [(3, 90, 1024), (5, 80, 7)])
 def test_components_equal_brute_force(spark, monkeypatch, n, percent, tile):
-    monkeypatch.setattr(J, "TILE", tile)
+    for name, value in (("TILE", tile), ("CHUNK", 5 * tile), ("HELD", 3 * tile), ("FEW", 8 if tile > 99 else 0)):
+        monkeypatch.setattr(J, name, value)
     data = corpus(n)
     got = J.join_components(spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'x' AS component_id", "1 AS row"), n, percent).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(data, n, percent)
 
 
+def near_copies(count, words, seed, most=3):
+    """Copies of one text with some words changed each; many pairs lie on either side of the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(count):
+        w = list(base)
+        for _ in range(rng.randint(0 if len(out) % 50 == 7 else 1, most)):
+            w[rng.randrange(words)] = f"c{rng.randrange(3)}"
+        out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_large_group_of_near_copies_that_are_not_all_linked(spark, n, percent):
+    data = near_copies(1200, 60, n)
+    got = J.join_components(spark.createDataFrame(data, "doc_id long, text string").repartition(6), n, percent).collect()
+    want = brute(data, n, percent)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert 1 < len({c for _, _, c in want}) < 1200
+
+
+def vectors(rng, copies, groups=128):
+    base = rng.poisson(2, size=(20, groups))
+    return np.concatenate([np.clip(base + (rng.random(base.shape) < 0.02) - (rng.random(base.shape) < 0.02), 0, 255) for _ in range(copies)]).astype(np.uint8)
+
+
 def test_tree_search_keeps_every_pair_within_the_bound():
     rng = np.random.default_rng(1)
-    base = rng.poisson(2, size=(20, J.GROUPS))
-    v = np.concatenate([np.maximum(base + (rng.random(base.shape) < 0.02) - (rng.random(base.shape) < 0.02), 0) for _ in range(30)])
-    size, component = v.sum(1), rng.integers(0, 5, len(v))
-    tree = J.RTree(v, size, component)
-    for q in range(0, len(v), 7):
-        got = set(tree.search(v[q], int(size[q]), int(component[q]), 0.9).tolist())
-        want = {i for i in range(len(v)) if component[i] != component[q] and np.minimum(v[i], v[q]).sum() >= 0.9 * (size[i] + size[q]) / 1.9 - 1e-6}
-        assert {i for i in want if min(size[i], size[q]) >= 0.9 * max(size[i], size[q])} <= got <= want
+    v = vectors(rng, 30)
+    size = v.sum(1, dtype=np.int64)
+    got = set(zip(*(x.tolist() for x in J.RTree(v, size).search(v[::7], size[::7], 0.9)), strict=True))
+    over, total = np.minimum(v[::7, None], v[None]).sum(2, dtype=int), size[::7, None] + size[None]
+    like = np.minimum(size[::7, None], size[None]) >= 0.9 * np.maximum(size[::7, None], size[None])
+    assert got == set(zip(*(x.tolist() for x in np.nonzero((over >= 0.9 * total / 1.9 - 1e-6) & like)), strict=True))
+
+
+@pytest.mark.parametrize("cut", [0, 90])
+def test_forests_join_what_all_pairs_join(monkeypatch, cut):
+    monkeypatch.setattr(J, "FEW", 0)
+    rng = np.random.default_rng(3)
+    v = vectors(rng, 10)[rng.permutation(200)]
+    size, component = v.sum(1, dtype=np.int64), rng.integers(0, 60, len(v))
+    left = np.arange(cut or 200)
+    right = np.arange(cut, 200) if cut else left
+    every, hidden = J.forests(v, size, component, left, right, 0.9, J.FORESTS + 1)
+    assert not hidden and all(component[a] != component[b] for a, b in every)
+
+    def joined(pairs):
+        label = component.copy()
+        for a, b in pairs:
+            label[label == label[a]] = label[b]
+        return len(set(label.tolist()))
+
+    for most in (1, 8):
+        some, hidden = J.forests(v, size, component, left, right, 0.9, most)
+        assert set(some) <= set(every) and joined(some) == joined(every) and len(some) <= most * 59
+        assert hidden or {frozenset(p) for p in some} == {frozenset(p) for p in every}
+
+
+def test_folded_vectors_are_those_of_fewer_groups():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 31, 64, 500, 9000):
+        g = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        v, cut = J.count_vectors(g, np.array([0, len(g)]))
+        assert cut[-1] == len(v) == min(max(1 << max(n.bit_length() - 2, 0), J.LEAST_GROUPS), J.MOST_GROUPS) and v.sum(dtype=int) == len(g)
+        if len(v) > 32:
+            group = ((J.mix64(g ^ J._ODD[2]) >> np.uint64(7)) & np.uint64(31)).astype(int)
+            assert J._gathered(v, cut, np.array([0]), 32)[0].tolist() == np.minimum(np.bincount(group, minlength=32), 255).tolist()
 
 
 def test_linked_sets_share_a_cell():
@@ -97,17 +158,26 @@ def test_components_of_long_chains_converge(spark):
     rng = random.Random(4)
     keys = rng.sample(range(-(10**9), 10**9), 1200)
     links = [*zip(keys[:999], keys[1:1000], strict=True), *zip(keys[1000:1199], keys[1001:], strict=True)]
-    got = J.components(spark.createDataFrame([(min(x), max(x)) for x in links], "a long, b long")).collect()
+    got = J.components(spark.createDataFrame([(min(x), max(x)) for x in links[150:]], "a long, b long"), Scratch(spark), J.components(spark.createDataFrame([(min(x), max(x)) for x in links[:150]], "a long, b long"), Scratch(spark))).collect()
     assert {r.key: r.component for r in got} == {k: min(keys[:1000]) if i < 1000 else min(keys[1000:]) for i, k in enumerate(keys)}
 
 
 def test_large_counts_never_lower_the_bound():
-    counts = np.full((2, J.GROUPS), 65_530)
-    counts[0, :9], counts[1, :9] = 65_536, 65_540
+    counts = np.full((2, 128), 250)
+    counts[0, :9], counts[1, :9] = 256, 300
+    v = J.matrix(np.minimum(counts, J.MOST).astype(np.uint8).ravel(), np.array([0, 128, 256]))
     size = counts.sum(1)
-    v = J.unpacked([x.tobytes() for x in J.packed(counts)])
     assert (v >= counts).all() and (v[:, 9:] == counts[:, 9:]).all()
-    assert J.RTree(v[1:], size[1:], np.array([1])).search(v[0], int(size[0]), 0, 0.99).tolist() == [0]
+    assert J.RTree(v[1:], size[1:]).search(v[:1], size[:1], 0.98)[1].tolist() == [0]
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    work = Scratch(spark)
+    first = work.write("a", spark.range(3))
+    second = work.write("a", first.selectExpr("id + 1 AS id"))
+    assert sorted(r.id for r in second.collect()) == [1, 2, 3]
+    kept = work.keep(second)
+    assert kept.count() == 3 and spark._jvm.org.apache.hadoop.fs.Path(work.base).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(work.base)) is False
 
 
 def test_empty_table(spark):
