@@ -278,7 +278,9 @@ def _rows(docs: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 #: Rows of cells that a task holds before it ties those that met.
-HELD = 2_000_000
+HELD = 250_000
+#: Rows of a batch that goes back to the JVM.
+SENT = 50_000
 
 
 def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
@@ -303,7 +305,8 @@ def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
         place = np.where(again, mix64(cell ^ mix64(key)), cell)
         null = pa.array(~again)
         only = lambda x: pa.Array.from_buffers(pa.int64(), len(x), [pa.compute.invert(null).buffers()[1], pa.py_buffer(np.ascontiguousarray(np.where(again, x, 0)).view(np.int64))])
-        return pa.RecordBatch.from_arrays([_signed(place), only(cell), _signed(key), only(anchor)], ["place", "cell", "key", "anchor"])
+        whole = pa.RecordBatch.from_arrays([_signed(place), only(cell), _signed(key), only(anchor)], ["place", "cell", "key", "anchor"])
+        return (whole.slice(a, SENT) for a in range(0, whole.num_rows, SENT))
 
     def run(batches):
         seen: set[int] = set()
@@ -323,10 +326,10 @@ def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
                 cells.append(cell[keep]), keys.append(key[who[keep]])
                 held += len(cells[-1])
                 if held > HELD:
-                    yield tied(cells, keys)
+                    yield from tied(cells, keys)
                     cells, keys, held = [], [], 0
         if held:
-            yield tied(cells, keys)
+            yield from tied(cells, keys)
 
     return docs.select("text").mapInArrow(run, "place long, cell long, key long, anchor long")
 
