@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and Python spelling of one word.
@@ -127,6 +127,32 @@ def small_side(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("shuffle_hash")
 
 
+#: Bytes of a list of places that one step may copy.
+PLACES = 2048
+
+
+def places(text: Column, pattern: Column, measure, keep, show) -> Column:
+    """A comma before each show(start, end) of the matches in text for which keep(match) holds, as one string.
+
+    split() gives what lies between the matches that regexp_extract_all() lists; a running sum of measure() over both
+    gives each place. The last gap has no match. The list is built in pieces, so that a text with very many
+    matches costs no more for each than one with few.
+    """
+    gaps, hits = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
+
+    def step(acc, pair):
+        start = acc["at"] + measure(pair["gap"])
+        end = start + measure(pair["hit"])
+        full = F.octet_length(acc["piece"]) > PLACES
+        piece, done = F.when(full, F.lit("")).otherwise(acc["piece"]), F.when(full, F.concat(acc["done"], F.array(acc["piece"]))).otherwise(acc["done"])
+        kept = pair["hit"].isNotNull() & keep(pair["hit"])
+        return F.struct(end.alias("at"), F.when(kept, F.concat(piece, F.lit(","), show(start, end))).otherwise(piece).alias("piece"), done.alias("done"))
+
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("piece"), F.array().cast("array<string>").alias("done"))
+    paired = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(paired, none, step, lambda acc: F.concat(F.array_join(acc["done"], ""), acc["piece"]))
+
+
 # ---------------------------------------------------------------- word finding
 
 _SEPARATOR = np.zeros(256, bool)

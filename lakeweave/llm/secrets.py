@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import places, table
+
 KINDS = ("assign", "access", "hex", "markov")
 VALUE = "A-Za-z0-9+/_.=-"
 #: kind -> (pattern, group whose length counts, least length)
@@ -127,31 +129,21 @@ def log_ratio(token: Column, model: MarkovModel) -> Column:
     # One folded constant: thousands of single literals would cost seconds of planning.
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in model.ratio)), ",").cast("array<double>")
 
-    def code(i):
-        return F.ascii(F.substring(token, i, 1)) - FIRST
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(table, code(i) * SIDE + code(i + 1)), F.lit(0.0)))
+    # Every character once: a substring by its number would be sought from the start each time.
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: F.length(c) > 0), lambda c: F.ascii(c) - FIRST)
 
+    def step(acc, c):
+        inside = c.between(0, SIDE - 1) & acc["last"].between(0, SIDE - 1)
+        return F.struct((acc["sum"] + F.when(inside, F.get(table, acc["last"] * SIDE + c)).otherwise(0.0)).alias("sum"), c.alias("last"))
 
-def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
-    """'kind:start:end' strings, comma-joined, of the matches for which keep(match) holds.
+    return F.aggregate(codes, F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last")), step, lambda acc: acc["sum"])
 
-    split() gives what lies between the matches that regexp_extract_all() lists; a running sum of
-    lengths in code points gives each place. The list grows as one string: appending costs a copy
-    of a few bytes per earlier span. The last gap has no match; its step changes nothing in the list.
-    """
-    gaps, hits = F.split(text, F.lit(pattern), F.lit(-1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.concat(F.lit(f",{kind}:"), start.cast("string"), F.lit(":"), end.cast("string"))
-        return F.struct(end.alias("at"), F.when(pair["hit"].isNotNull() & keep(pair["hit"]), F.concat(acc["list"], span)).otherwise(acc["list"]).alias("list"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("list"))
-    paired = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
+    """'kind:start:end' strings, each after a comma, of the matches for which keep(match) holds; places in code points."""
+    show = lambda start, end: F.concat(F.lit(f"{kind}:"), start.cast("string"), F.lit(":"), end.cast("string"))
     gate = text.rlike(GATE[kind]) & text.rlike(pattern) if kind in GATE else text.rlike(pattern)
-    return F.when(gate, F.aggregate(paired, start, step, lambda acc: acc["list"])).otherwise(F.lit(""))
+    return F.when(gate, places(text, F.lit(pattern), F.length, keep, show)).otherwise(F.lit(""))
 
 
 def _parse(listed: Column) -> Column:
@@ -180,8 +172,7 @@ def find_secrets(docs: DataFrame, model: MarkovModel, least_ratio: float = 12.0,
     lists += [_spans(text, kind, FAST[kind], lambda h: F.lit(True)) for kind in ("access", "hex")]
 
     def strange(h):
-        ratio = log_ratio(h, model)
-        return (ratio >= least_ratio) & (ratio >= least_per_char * F.length(h))
+        return log_ratio(h, model) >= F.greatest(F.lit(least_ratio), least_per_char * F.length(h))
 
     found = d.select("doc_id", _parse(F.concat(*lists)).alias("base"), _parse(_spans(text, "markov", CANDIDATE, strange)).alias("random"))
     return found.select(
@@ -191,8 +182,6 @@ def find_secrets(docs: DataFrame, model: MarkovModel, least_ratio: float = 12.0,
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_secrets(docs, train_markov(labelled_samples(docs)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind) + 1)).cast("long").alias(f"n_{kind}")

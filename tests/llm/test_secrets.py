@@ -1,5 +1,10 @@
 import hashlib
+import random
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from lakeweave.llm import secrets as S
 
@@ -49,3 +54,24 @@ def test_markov_adds_random_strings_only(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
+
+
+def test_log_ratio_equals_sum_over_pairs_and_is_linear(spark):
+    rng = random.Random(2)
+    model = S.MarkovModel(tuple(round(rng.uniform(-3, 3), 3) for _ in range(S.SIDE**2)))
+    tokens = ["", "a", "ab", "zz~ !", "a\u00e9b", *("".join(rng.choices("".join(map(chr, range(32, 127))), k=k)) for k in (3, 20, 500))]
+    code = lambda c: ord(c) - S.FIRST if ord(c) < 127 else -1
+    want = [sum(model.ratio[code(x) * S.SIDE + code(y)] for x, y in zip(t, t[1:], strict=False) if code(x) >= 0 <= code(y)) for t in tokens]
+    df = spark.createDataFrame(list(enumerate(tokens)), "id int, t string").orderBy("id")
+    got = [r.r for r in df.select("id", S.log_ratio(F.col("t"), model).alias("r")).orderBy("id").collect()]
+    assert got == pytest.approx(want)
+    start = time.time()
+    df.limit(1).select(S.log_ratio(F.repeat(F.lit("aB3x"), 250_000), model)).collect()
+    assert time.time() - start < 30
+
+
+def test_very_many_spans_and_a_very_long_run(spark, tmp_path):
+    texts = [("deadbeef" * 3 + " ") * 20_000, "xK9" * 300_000]
+    got = {r.doc_id: r for r in run(spark, tmp_path, [(i, t, "x") for i, t in enumerate(texts)])}
+    assert got[0].n_hex == 20_000 and got[0].base_sha256 == hashlib.sha256(brute(texts[0]).encode()).hexdigest()
+    assert got[1].n_hex == 0
