@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, places, table
 
 #: A word, before lowering A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -22,7 +22,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Phrases that always count, with their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: What a text must hold for any rule to match, in either case.
-GATE = rf"(?i)licen[cs]|(?<![0-9a-z])cc(?:0|{BETWEEN}+(?:by|zero|0))|gpl|bsd|creative{BETWEEN}+commons|apache{BETWEEN}+2|mit{BETWEEN}+no{BETWEEN}+attribution|spdx|copyright|copyleft|public{BETWEEN}+domain|rights{BETWEEN}+reserved"
+GATE = rf"(?i)licen[cs]|buy{BETWEEN}+me{BETWEEN}+a{BETWEEN}+beer|font{BETWEEN}+software|source{BETWEEN}+agreement|mulan|without{BETWEEN}+permission|proprietary|includes{BETWEEN}+software{BETWEEN}+developed|altered{BETWEEN}+source|png{BETWEEN}+reference|advertising{BETWEEN}+materials|endorse{BETWEEN}+or{BETWEEN}+promote|mozilla{BETWEEN}+org{BETWEEN}+mpl|(?<![0-9a-z])cc(?:0|{BETWEEN}+(?:by|zero|0))|gpl|bsd|creative{BETWEEN}+commons|apache{BETWEEN}+2|mit{BETWEEN}+no{BETWEEN}+attribution|spdx|copyright|copyleft|public{BETWEEN}+domain|rights{BETWEEN}+reserved|hereby|warrant|redistribut|perpetual|trademark"
 
 #: (label, keyword, names as patterns over words joined by blanks). Most specific first within a family.
 #: Every match of a name holds the keyword; a name whose matches need not has one of its own: (name, keyword).
@@ -92,6 +92,94 @@ FAMILIES = [
     ("proprietary", "rights reserved", [r"all rights reserved"]),
 ]
 
+#: (label, keyword, sentence as a pattern, score): wording of license texts and notices, each a rule of its own.
+SIGNATURES = [
+    ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1.0),
+    ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("isc", "hereby granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", 1.0),
+    ("0bsd", "hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)", 0.95),
+    ("hpnd", "hereby granted", "permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted", 0.95),
+    ("curl", "hereby granted", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.95),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 0.9),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 0.9),
+    ("bsd-3", "endorse or promote", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products", 0.95),
+    ("bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display", 0.95),
+    ("gpl", "free software", "this (?:program|library|file|package) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 1.0),
+    ("lgpl", "free software", "this (?:program|library|file|package) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 1.0),
+    ("agpl", "free software", "this (?:program|library|file|package) is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e", 1.0),
+    ("gpl", "general public", "you should have received a copy of the gnu general public licen[cs]e", 0.9),
+    ("lgpl", "general public", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", 0.9),
+    ("agpl", "general public", "you should have received a copy of the gnu affero general public licen[cs]e", 0.9),
+    ("gpl-2-or-later", "version 2", "either version 2 of the licen[cs]e or (?:at your option )?any later version", 0.9),
+    ("gpl-3-or-later", "version 3", "either version 3 of the licen[cs]e or (?:at your option )?any later version", 0.9),
+    ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", 1.0),
+    ("apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1.0),
+    ("apache-2", "apache", "http www apache org licenses license 2 0", 0.95),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 0.9),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("mpl", "mozilla", "(?:http|https) mozilla org mpl 2 0", 0.9),
+    ("epl-1", "eclipse", "made available under the terms of the eclipse public license v1 0", 1.0),
+    ("epl-2", "eclipse", "made available under the terms of the eclipse public license (?:v )?2 0", 1.0),
+    ("cddl", "common development", "the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("cpl", "common public", "made available under the terms of the common public license", 1.0),
+    ("artistic", "artistic", "you may distribute under the terms of either the gnu general public license or the artistic license", 1.0),
+    ("perl", "as perl", "you can redistribute it and or modify it under the same terms as perl", 0.95),
+    ("ruby", "as ruby", "you can redistribute it and or modify it under the same terms as ruby", 0.9),
+    ("boost-1", "boost", "distributed under the boost software license version 1 0", 1.0),
+    ("boost-1", "hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
+    ("zlib", "express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 0.95),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such and must not be misrepresented", 0.95),
+    ("libpng", "png reference", "the png reference library is supplied as is", 0.6),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
+    ("wtfpl", "what the", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed .{0,200}?you just do what the", 1.0),
+    ("fsf-text", "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.8),
+    ("beerware", "beer", "you can do whatever you want with this stuff .{0,80}?buy me a beer in return", 0.95),
+    ("python-2", "python software foundation", "python software foundation license version 2", 1.0),
+    ("python-2", "psf", "psf is making python available to licensee on an as is basis", 0.9),
+    ("php-3", "php", "this source file is subject to version 3 01 of the php license", 1.0),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 1.0),
+    ("ofl-1.1", "open font", "this font software is licensed under the sil open font license version 1 1", 1.0),
+    ("ofl", "font software", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", 0.8),
+    ("odbl", "open database", "is made available under the open database license", 1.0),
+    ("odc-by", "open data commons", "is made available under the open data commons attribution license", 1.0),
+    ("pddl", "public domain dedication", "is made available under the (?:open data commons )?public domain dedication and licen[cs]e", 0.9),
+    ("ogl", "open government", "contains public sector information licensed under the open government licen[cs]e", 1.0),
+    ("ms-pl", "microsoft public", "this license governs use of the accompanying software .{0,80}?microsoft public license", 0.9),
+    ("upl-1", "universal permissive", "the universal permissive license upl version 1 0", 1.0),
+    ("busl-1.1", "business source", "the business source license .{0,60}?is not an open source license", 1.0),
+    ("sspl-1", "server side", "server side public license version 1", 1.0),
+    ("elastic-2", "elastic", "you may not provide the software to third parties as a hosted or managed service .{0,400}?elastic license", 0.9),
+    ("commons-clause", "commons clause", "commons clause license condition", 1.0),
+    ("polyform-nc", "polyform", "polyform noncommercial license", 1.0),
+    ("polyform-sb", "polyform", "polyform small business license", 1.0),
+    ("cecill", "cecill", "cecill(?: [abc])? (?:free software )?licen[cs]e", 0.9),
+    ("nasa", "nasa open source", "nasa open source agreement(?: version 1 3)?", 0.9),
+    ("ipl-1", "ibm public", "ibm public license(?: version 1 0)?", 0.9),
+    ("qpl-1", "q public", "(?:the )?q public license(?: version 1 0)?", 0.9),
+    ("ncsa", "illinois", "university of illinois(?: ncsa)? open source license", 0.95),
+    ("postgresql", "postgresql", "postgresql license", 0.9),
+    ("vim", "vim", "vim license", 0.8),
+    ("x11", "x11", "x11 license", 0.8),
+    ("blueoak-1", "blue oak", "blue oak model license(?: version)? 1 0 0", 1.0),
+    ("mulan-2", "mulan", "mulan psl v2", 0.9),
+    ("cc-by", "creativecommons org", "creativecommons org licenses by [1-4] [0-9]", 0.95),
+    ("cc-by-sa", "creativecommons org", "creativecommons org licenses by sa [1-4] [0-9]", 0.95),
+    ("cc-by-nd", "creativecommons org", "creativecommons org licenses by nd [1-4] [0-9]", 0.95),
+    ("cc-by-nc", "creativecommons org", "creativecommons org licenses by nc [1-4] [0-9]", 0.95),
+    ("cc-by-nc-sa", "creativecommons org", "creativecommons org licenses by nc sa [1-4] [0-9]", 0.95),
+    ("cc-by-nc-nd", "creativecommons org", "creativecommons org licenses by nc nd [1-4] [0-9]", 0.95),
+    ("cc0", "waived", "to the extent possible under law .{1,120}? has waived all copyright", 1.0),
+    ("public-domain", "public domain", "(?:placed|released|put) (?:in|into) the public domain", 0.9),
+    ("public-domain", "public domain", "no copyright (?:is )?claimed .{0,40}?public domain", 0.8),
+    ("us-government", "united states government", "work of the united states government .{0,120}?public domain", 0.9),
+    ("proprietary", "proprietary", "proprietary and confidential .{0,200}?copyright", 0.8),
+    ("proprietary", "without permission", "may not be (?:reproduced|copied|distributed|republished) without permission", 0.6),
+    ("warranty", "without warranty", "without warranty of any kind express or implied", 0.5),
+    ("warranty", "merchantability", "warrant(?:y|ies) of merchantability", 0.5),
+]
+
 #: (pattern around a name, priority added, score). The stronger the wording, the higher.
 FRAMES = [
     ("spdx licen[cs]e identifier {0}", 40, 1.0),
@@ -103,8 +191,8 @@ FRAMES = [
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, score): each family's names in each frame, then the base phrases."""
-    out = []
+    """(label, keyword, pattern, priority, score): sentences, then each family's names in each frame."""
+    out = [(label, keyword, f"(?<= ){sentence}(?= )", 50 * 1000 + 1000 - at, score) for at, (label, keyword, sentence, score) in enumerate(SIGNATURES)]
     for at, (label, keyword, names) in enumerate(FAMILIES):
         for name, own in (x if isinstance(x, tuple) else (x, keyword) for x in names):
             for frame, priority, score in FRAMES:
@@ -120,15 +208,8 @@ def normalised(text: Column) -> Column:
 def _hits(words: Column, pattern: Column) -> Column:
     """Intervals (first word, end word) of a pattern's matches; they begin after and end before a blank."""
     blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-
-    def step(acc, pair):
-        start = acc["at"] + blanks(pair["gap"])
-        end = start + blanks(pair["hit"])
-        return F.struct(end.alias("at"), F.when(pair["hit"].isNotNull(), F.concat(acc["list"], F.lit(","), (start - 1).cast("string"), F.lit(":"), end.cast("string"))).otherwise(acc["list"]).alias("list"))
-
-    paired = F.zip_with(F.split(words, pattern, F.lit(-1)), F.regexp_extract_all(words, pattern, F.lit(0)), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("list"))
-    listed = F.aggregate(paired, start, step, lambda acc: acc["list"])
+    show = lambda start, end: F.concat((start - 1).cast("string"), F.lit(":"), end.cast("string"))
+    listed = places(words, pattern, blanks, lambda _: F.lit(True), show)
     return F.transform(
         F.filter(F.split(listed, ","), lambda s: F.length(s) > 0),
         lambda s: F.struct(F.get(F.split(s, ":"), F.lit(0)).cast("int").alias("start"), F.get(F.split(s, ":"), F.lit(1)).cast("int").alias("end")),

@@ -1,3 +1,4 @@
+import random
 import re
 
 from lakeweave.llm import licenses as L
@@ -53,14 +54,16 @@ def expanded(tree):
             some = [chr(arg)]
         elif kind == "IN":
             some = [chr(x) if str(o) == "LITERAL" else chr(x[0]) for o, x in arg]
-        elif kind == "MAX_REPEAT":
+        elif kind == "ANY":
+            some = ["x"]
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
             some = [t * n for t in expanded(arg[2]) for n in {arg[0], 1}]
         elif kind == "SUBPATTERN":
             some = expanded(arg[3])
         elif kind == "BRANCH":
             some = [t for b in arg[1] for t in expanded(b)]
         else:
-            assert kind in ("ASSERT", "AT"), kind
+            assert kind in ("ASSERT", "ASSERT_NOT", "AT"), kind
             some = [""]
         out = [a + b for a in out for b in some]
     return out
@@ -69,8 +72,9 @@ def expanded(tree):
 def test_every_match_of_a_rule_passes_gate_and_keyword():
     frames = {f for f, _, _ in L.FRAMES}
     assert "{0}" in frames
+    sentences = {f"(?<= ){x[2]}(?= )" for x in L.SIGNATURES}
     for _, keyword, pattern, _, score in L.rules():
-        if score == 0.7:  # the bare names; a frame only adds words
+        if score == 0.7 or pattern in sentences:  # sentences and bare names; a frame only adds words
             for text in expanded(re._parser.parse(pattern)):
                 assert keyword in text, (keyword, text)
                 assert re.search(L.GATE, text) and re.search(L.GATE, text.upper().replace(" ", "-")), text
@@ -85,5 +89,33 @@ def test_short_names_are_found(spark, tmp_path):
     assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values())) and all(r.score >= 0.7 for r in got)
 
 
+def test_every_rule_fires_on_a_sample_of_its_own(spark, tmp_path):
+    rules = L.rules()
+    samples = [expanded(re._parser.parse(pattern))[-1] for _, _, pattern, _, _ in rules]
+    got = run(spark, tmp_path, [(i, f"Some text. {t.upper()}. More text.", 5) for i, t in enumerate(samples)])
+    assert len(got) == len(rules) > 500
+    missed = [(rules[r.doc_id][0], r.labels, samples[r.doc_id]) for r in got if rules[r.doc_id][0] not in r.labels.split(",")]
+    assert not missed, missed
+
+
+def beaten(x, y):
+    inside = y[1] <= x[1] and y[2] >= x[2]
+    return inside and (y[0] > x[0] or y[0] == x[0] and y[2] - y[1] > x[2] - x[1])
+
+
+def test_rules_and_suppression_equal_brute_force(spark, tmp_path):
+    rng, names = random.Random(3), ["MIT License", "GNU GPL v3", "licensed under the terms of the BSD 3-Clause License", "CC BY-NC-SA 4.0", "all rights reserved", "Apache License, Version 2.0", "this is code", "public domain dedication", "without warranty of any kind, express or implied", "GNU Affero General Public License"]
+    texts = [" and ".join(rng.choices(names, k=rng.randint(1, 8))) for _ in range(40)]
+    rules = [(label, keyword, re.compile(pattern), priority) for label, keyword, pattern, priority, _ in L.rules()]
+    want = []
+    for text in texts:
+        words = " " + " ".join(WORDS.findall(text.lower())) + " "
+        found = {(priority, words[: m.start()].count(" ") - 1, words[: m.end()].count(" "), label) for label, keyword, pattern, priority in rules if keyword in words for m in pattern.finditer(words)}
+        labels = {x[3] for x in found if not any(beaten(x, y) for y in found)} | set(brute(text)[4].split(",")) - {""}
+        want.append(",".join(sorted(labels)))
+    got = run(spark, tmp_path, [(i, t, 5) for i, t in enumerate(texts)])
+    assert [r.labels for r in sorted(got)] == want
+
+
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
