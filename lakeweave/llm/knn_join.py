@@ -7,12 +7,14 @@ vectors reach, and each cell a score that none of its vectors exceeds. A query i
 cells that may still hold one of its k best, and to no other; each meeting of a block of queries with a
 block of vectors is solved locally, and the local lists are merged.
 
-Cells of any size are cut into blocks of at most `BLOCK` vectors, so a cell with a third of all rows is
-many joined rows, not one.
+Cells of any size are cut into blocks of at most `BLOCK` vectors, and these are dealt to so many parts of the cell
+that one holds about `PART` blocks; a query goes to all parts. A cell with a third of all rows is many tasks.
 
 Defined results: a vector that is null or holds null or non-finite components takes no part, nor does a
-null id; shorter vectors count as padded with zeros; a query never meets rows with its own id; fewer
-than k candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
+null id; shorter vectors count as padded with zeros; a query never meets rows with its own id; each row with an
+id that occurs several times is a candidate of its own; of several query rows of one id, the one with the smallest
+vector asks; fewer than k candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
+Scores are exact up to 2^53.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import table, written
 
 BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Blocks of one cell that a query meets in one task.
+PART = 4
 #: Vectors that pivots are chosen from, those with the smallest id hash.
 SAMPLE = 4096
 SLACK = 1e-6
@@ -111,7 +115,7 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
     """(vec_id, vector) twice -> query_id, rank, vec_id, score: the k highest inner products of floor(256 x)."""
     spark = data.sparkSession
     ok = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "vector").where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    data, queries = ok(data), ok(queries)
+    data, queries = ok(data), ok(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     shape = data.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     dim = max(shape["d"] or 1, queries.agg(F.max(F.size("vector")).alias("d")).first()["d"] or 1)
     schema = "query_id long, rank int, vec_id long, score long"
@@ -123,16 +127,16 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
     shared = spark.sparkContext.broadcast(centers)
     blocks = written(_blocks(data, dim, shared, k, BLOCK))
     # The driver gets a radius and at most k + 1 distances for each pivot.
-    cells = blocks.groupBy("cell").agg(F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
+    cells = blocks.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"), F.max("radius").alias("radius"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
     number = np.array([r["cell"] for r in cells])
     radius = np.array([r["radius"] for r in cells])
     near = np.full((len(cells), k + 1), np.inf)
     for i, r in enumerate(cells):
         near[i, : len(r["near"])] = r["near"]
-    summary = spark.sparkContext.broadcast((number, centers[number], radius, near))
+    summary = spark.sparkContext.broadcast((number, centers[number], radius, near, [r["parts"] for r in cells]))
 
     def replicate(batches):
-        number, centers, radius, near = summary.value
+        number, centers, radius, near, parts = summary.value
         for batch in batches:
             for raw_ids, raw in zip(batch.column("ids").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
                 ids, q = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw).reshape(-1, dim)
@@ -146,10 +150,16 @@ def knn_join(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None
                 need = middle + length * radius[None] + slack >= bar[:, None] - SLACK * (1 + np.abs(bar[:, None]))
                 for j in np.flatnonzero(need.any(0)).tolist():
                     at = np.flatnonzero(need[:, j])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(number[j])], pa.int32()), pa.array([ids[at].tobytes()]), pa.array([q[at].tobytes()])], ["to_cell", "q_ids", "q_vectors"])
-
-    sent = _blocks(queries, dim, shared, k, QUERY_BLOCK).mapInArrow(replicate, "to_cell int, q_ids binary, q_vectors binary")
-    met = blocks.select("cell", "ids", "vectors").join(sent, F.col("cell") == F.col("to_cell")).select("ids", "vectors", "q_ids", "q_vectors")
+                    for part in range(parts[j]):
+                        yield pa.RecordBatch.from_arrays([pa.array([int(number[j])], pa.int32()), pa.array([part], pa.int64()), pa.array([ids[at].tobytes()]), pa.array([q[at].tobytes()])], ["to_cell", "to_part", "q_ids", "q_vectors"])
+
+    sent = _blocks(queries, dim, shared, k, QUERY_BLOCK).mapInArrow(replicate, "to_cell int, to_part long, q_ids binary, q_vectors binary")
+    most = [1] * (int(number.max()) + 1)
+    for r in cells:
+        most[r["cell"]] = r["parts"]
+    part = F.pmod(F.xxhash64("ids"), F.get(F.array(*map(F.lit, most)), F.col("cell")))
+    dealt = blocks.select("cell", part.alias("part"), "ids", "vectors")
+    met = dealt.join(sent, (F.col("cell") == F.col("to_cell")) & (F.col("part") == F.col("to_part"))).select("ids", "vectors", "q_ids", "q_vectors")
 
     def solve(batches):
         kept, rows = [], 0
