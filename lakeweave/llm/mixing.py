@@ -9,7 +9,8 @@ source's mean size. The dual is one convex function with a separate coordinate p
 Newton steps (kept inside a bracket) run for all sources at once, each step one aggregation
 over the table of distinct (source, size) with their counts.
 
-Copies: within a source, documents are dealt to buckets of about `bucket_rows` by hash; in a
+Copies: within a source, documents are dealt to buckets of about `bucket_rows` by a hash of id and text (rows that
+are equal in both, where there are more of them, by their number); in a
 bucket, from the largest document to the smallest, the rounding error is carried on. A bucket
 ends within about half its smallest document of what its rates ask for.
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, table, written
+from .common import WORD, checkpointed, small_side, table, written
 
 
 def source_order(sources: DataFrame) -> DataFrame:
@@ -58,17 +59,18 @@ def water_level(sources: DataFrame, share: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.lit(level) * F.col("weight"), room))
 
 
-def balance(histogram: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-10, most_steps: int = 60) -> DataFrame:
+def balance(histogram: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-10) -> DataFrame:
     """Adds `tilt` to sources (source, source_size, rows, target): Newton on the dual, all sources at once.
 
     histogram: (source, size, n), size > 0. A target at the cap has tilt null (every rate is the cap),
-    as has a target of zero (every rate is zero).
+    as has a target of zero (every rate is zero). Steps go on until every source is met within the tolerance, or its
+    bracket holds no further number.
     """
     easy = (F.col("target") <= 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12))
     state = sources.withColumn("done", easy)
     state = state.withColumn("tilt", F.when(~easy, F.log(F.col("target") / F.col("source_size"))))
     state = written(state.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}))
-    for _ in range(most_steps):
+    while not state.where(~F.col("done")).isEmpty():
         open_ = state.where(~F.col("done")).select("source", "tilt", "source_size", "rows")
         tilt_z = F.col("tilt") * F.col("size") * F.col("rows") / F.col("source_size")
         capped = tilt_z >= math.log(cap)
@@ -84,9 +86,9 @@ def balance(histogram: DataFrame, sources: DataFrame, cap: float, tolerance: flo
         step = F.when(F.col("slope") > 0, F.col("tilt") - over / F.col("slope")).otherwise(F.col("tilt") - 1)
         j = j.withColumns({"low": low, "high": high, "step": step, "close": close})
         inside = F.when((F.col("step") <= F.col("low")) | (F.col("step") >= F.col("high")), (F.col("low") + F.col("high")) / 2)
-        state = written(j.select("source", "source_size", "rows", "weight", "target", F.col("close").alias("done"), F.when(F.col("close"), F.col("tilt")).otherwise(F.coalesce(inside, F.col("step"))).alias("tilt"), "low", "high"))
-        if state.where(~F.col("done")).isEmpty():
-            break
+        after = F.when(F.col("close"), F.col("tilt")).otherwise(F.coalesce(inside, F.col("step")))
+        stuck = after.eqNullSafe(F.col("low")) | after.eqNullSafe(F.col("high")) | after.eqNullSafe(F.col("tilt"))
+        state = written(j.select("source", "source_size", "rows", "weight", "target", (F.col("close") | stuck).alias("done"), after.alias("tilt"), "low", "high"))
     return state.drop("done", "low", "high")
 
 
@@ -104,7 +106,11 @@ def _round(group: pd.DataFrame, cap: int) -> pd.DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = (5, 2, 1), bucket_rows: int = 1024) -> DataFrame:
     """Per row of docs (doc_id, source, text): doc_id, size, source_size, target, rate, copies."""
-    sizes = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    sizes = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("salt")))
+    # Rows that are equal in id and text share a salt; where they fill a bucket, their number spreads them.
+    crowded = written(sizes.groupBy(F.col("salt").alias("crowd")).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("crowd"))
+    sizes = sizes.withColumn("row", F.monotonically_increasing_id()).join(small_side(crowded), F.col("salt") == F.col("crowd"), "left")
+    sizes = sizes.withColumn("salt", F.when(F.col("crowd").isNull(), F.col("salt")).otherwise(F.xxhash64("salt", "row"))).drop("row", "crowd")
     histogram = written(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("rows"))
     w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("position") % len(weights)).cast("int"))
@@ -113,10 +119,9 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, .
     state = state.withColumnRenamed("source", "s")
     z = F.col("size") * F.col("rows") / F.col("source_size")
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * z, F.lit(50.0)))))
-    salt = F.xxhash64("doc_id")
     dealt = sizes.join(state, sizes["source"].eqNullSafe(state["s"])).select(
-        "doc_id", "size", "source_size", "target", "source", rate.alias("rate"), salt.alias("salt"),
-        F.pmod(salt, F.ceil(F.col("rows") / F.lit(bucket_rows))).alias("bucket"),
+        "doc_id", "size", "source_size", "target", "source", rate.alias("rate"), "salt",
+        F.pmod("salt", F.ceil(F.col("rows") / F.lit(bucket_rows))).alias("bucket"),
     )
     schema = "doc_id long, size long, source_size long, target double, rate double, copies long"
     return dealt.groupBy("source", "bucket").applyInPandas(lambda g: _round(g, cap), schema)

@@ -67,3 +67,15 @@ def test_rates_meet_targets_before_rounding(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
+
+
+def test_many_rows_of_one_id_or_none_share_no_bucket(spark):
+    import math
+
+    rows = [(None if i % 2 else 7, "a", "w " * (1 + i % 9)) for i in range(600)] + [(9, "a", "same text")] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = M.mix(docs, bucket_rows=64).collect()
+    assert len(got) == 1200 and max(r.copies for r in got) <= 2
+    size, target = sum(r["size"] for r in got), got[0].target
+    assert abs(sum(r.copies * r["size"] for r in got) - target) <= 0.02 * target and math.isclose(target, 1.5 * size)
+    assert sorted(map(str, M.mix(docs, bucket_rows=64).collect())) == sorted(map(str, got))
