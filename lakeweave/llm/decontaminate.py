@@ -18,7 +18,8 @@ Benchmarks beyond `BLOCK` passages are searched in blocks, and `SPACES` bases at
 bounded: `TERMS` x `RANK` numbers, the terms of `SPACES` x `RANK` passages by `RANK`, and one block. The benchmark is a stated query set; documents never meet each other.
 
 Defined results: null text counts as empty; null items and items without words match nothing; an item of one
-word matches nothing (it has no order); repeated rows are searched one by one; an empty benchmark or table gives an
+word matches nothing (it has no order); items that share an id, or have none, are searched each by itself, and a
+document is listed once for each of them that it holds; repeated rows are searched one by one; an empty benchmark or table gives an
 empty result; other columns are ignored, and so is a clash of their names.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_slices, words_of
+from .common import mix64, numbered, table, text_slices, words_of
 
 TERMS = 1 << 15
 WINDOW = 32
@@ -78,11 +79,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def passages(items: DataFrame) -> DataFrame:
-    """(item_id, text, answer) -> (item, part, item_id, words of the part, words, answer words); word hashes as binary."""
+    """(item, item_id, text, answer) -> (item, item_id, part, words, answer words); word hashes as binary."""
 
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in ("item_id", "part", "words", "answer")}
+            out = {c: [] for c in ("item", "item_id", "part", "words", "answer")}
             answers = batch.column("answer")
             for a, b, data, offsets in text_slices(batch.column("text")):
                 w = words_of(data, offsets)
@@ -98,13 +99,14 @@ def passages(items: DataFrame) -> DataFrame:
                     # The parts start half a window apart, the last one at the end.
                     starts = [*range(0, max(1, len(own) - WINDOW), WINDOW // 2), max(0, len(own) - WINDOW)]
                     for s in dict.fromkeys(starts):
+                        out["item"].append(batch.column("item")[a + i].as_py())
                         out["item_id"].append(batch.column("item_id")[a + i].as_py())
                         out["part"].append(own[s : s + WINDOW].tobytes())
                         out["words"].append(own.tobytes())
                         out["answer"].append(answer.tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("part", pa.binary()), ("words", pa.binary()), ("answer", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item", pa.int64()), ("item_id", pa.int64()), ("part", pa.binary()), ("words", pa.binary()), ("answer", pa.binary())]))
 
-    return items.mapInArrow(run, "item_id long, part binary, words binary, answer binary")
+    return items.mapInArrow(run, "item long, item_id long, part binary, words binary, answer binary")
 
 
 def _tfidf(parts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,18 +192,18 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.2, near: float = 0.75, paraphrase: float = 0.55, answer: float = 0.8) -> DataFrame:
     """docs (row, doc_id, text), items (item_id, text, answer) -> (row, doc_id, item_id, word, cosine, lcs, answer_share)."""
     spark = docs.sparkSession
-    schema = "row long, doc_id long, item_id long, word long, cosine double, lcs double, answer_share double"
-    parts = passages(items)
+    schema = "row long, doc_id long, item long, item_id long, word long, cosine double, lcs double, answer_share double"
+    parts = passages(numbered(items.select("item_id", "text", "answer"), "item"))
     if parts.isEmpty():
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).drop("item")
     frequency, n = document_frequencies(docs)
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).drop("item")
     idf = np.log1p(n / np.maximum(frequency, 1))
     basis = randomised_svd(parts, idf)
-    numbered = parts.rdd.map(lambda r: (r["item_id"], bytes(r["part"]), bytes(r["words"]), bytes(r["answer"])))
+    every = parts.rdd.map(lambda r: ((r["item"], r["item_id"]), bytes(r["part"]), bytes(r["words"]), bytes(r["answer"])))
     found, block = [], []
-    for r in numbered.toLocalIterator():
+    for r in every.toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
             found += _searches(docs, block, basis, idf, cosine, near, paraphrase, answer, schema)
@@ -209,11 +211,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, cosine: float = 0.2, near: flo
     if block:
         found += _searches(docs, block, basis, idf, cosine, near, paraphrase, answer, schema)
     if len(found) == 1:
-        return found[0]
+        return found[0].drop("item")
     # An item may be found by several searches: the first word of the highest cosine stays.
-    best = F.max(F.struct("cosine", -F.col("word"), *[F.col(c) for c in ("doc_id", "word", "lcs", "answer_share")])).alias("best")
-    every = reduce(DataFrame.union, found).groupBy("row", "item_id").agg(best)
-    return every.select("row", "best.doc_id", "item_id", "best.word", "best.cosine", "best.lcs", "best.answer_share")
+    best = F.max(F.struct("cosine", -F.col("word"), *[F.col(c) for c in ("doc_id", "item_id", "word", "lcs", "answer_share")])).alias("best")
+    every = reduce(DataFrame.union, found).groupBy("row", "item").agg(best)
+    return every.select("row", "best.doc_id", "best.item_id", "best.word", "best.cosine", "best.lcs", "best.answer_share")
 
 
 def _latent(parts: list[bytes], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, s
     def run(batches):
         spaces, square, names, texts, runs = shared.value
         for batch in batches:
-            out = {c: [] for c in ("row", "doc_id", "item_id", "word", "cosine", "lcs", "answer_share")}
+            out = {c: [] for c in ("row", "doc_id", "item", "item_id", "word", "cosine", "lcs", "answer_share")}
             for first, last, data, offsets in text_slices(batch.column("text")):
                 w = words_of(data, offsets)
                 size = np.diff(w.offsets)
@@ -342,7 +344,7 @@ def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, s
                     got = common_subsequence(wanted, region) / len(wanted) if wanted else 0.0
                     if share >= near or (share >= paraphrase and got >= answer):
                         seen.add((d, item))
-                        for c, x in (("row", batch.column("row")[first + d].as_py()), ("doc_id", batch.column("doc_id")[first + d].as_py()), ("item_id", item), ("word", place), ("cosine", like), ("lcs", share), ("answer_share", got)):
+                        for c, x in (("row", batch.column("row")[first + d].as_py()), ("doc_id", batch.column("doc_id")[first + d].as_py()), ("item", item[0]), ("item_id", item[1]), ("word", place), ("cosine", like), ("lcs", share), ("answer_share", got)):
                             out[c].append(x)
 
                 for slot, weighted, latent, members in spaces:
@@ -376,7 +378,7 @@ def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, s
                     for p, lo, hi in zip(like.tolist(), np.searchsorted(grams, g[like], "left").tolist(), np.searchsorted(grams, g[like], "right").tolist(), strict=True):
                         for item in items[lo:hi]:
                             decide(int(at[p]), item, None)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_share", pa.float64())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item", pa.int64()), ("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer_share", pa.float64())]))
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 

@@ -117,6 +117,18 @@ def test_every_term_has_a_weight(spark):
     assert len(got) == 50 and all(r.cosine > 0.99 for r in got)
 
 
+def test_items_that_share_an_id_and_leaks_in_many_documents(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices([f"w{j}" for j in range(500)], k=n))
+    items = [(5, text(30), None), (5, text(30), None), (None, text(30), None), (None, text(30), None)]
+    docs = [(d, d, f"{text(60)} {items[d % 3][1]} {text(20)}" if d < 60 else text(100)) for d in range(200)]
+    docs[70] = (70, 70, f"{items[0][1]} {items[1][1]} {items[3][1]}")
+    frame = spark.createDataFrame(items, "item_id long, text string, answer string").repartition(2)
+    got = D.find_leaks(spark.createDataFrame(docs, "row long, doc_id long, text string"), frame).collect()
+    want = [(d, items[d % 3][0]) for d in range(60)] + [(70, 5), (70, 5), (70, None)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.item_id)) for r in got)
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path / "a", [], [(1, "some benchmark text", None)])
     assert D.op4_decontaminate(spark, str(tmp_path / "a")).collect() == []
