@@ -6,8 +6,7 @@ and the slot names the shard. Shards get equal numbers of slots within one, and
 shard list moves few slots.
 
 Defined results: the key is the hash of the key column; null keys share one slot; rows with equal
-keys go to the same shard; an empty table gives an empty result; columns named slot or shard in the
-input are ignored by the query and replaced by the operator.
+keys go to the same shard; an empty table gives an empty result; a column named shard is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -53,9 +52,10 @@ def lookup_table(shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> np
 def place(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """rows with `shard` added: one broadcast join with the table, whose size is fixed by `size`."""
     owner = lookup_table(shards, size)
-    slots = rows.sparkSession.createDataFrame(pa.table({"__slot": np.arange(size, dtype=np.int64), "shard": owner}))
-    keyed = rows.drop("shard").withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(size)))
-    return keyed.join(F.broadcast(slots), "__slot").drop("__slot")
+    slot = "slot" + "_" * (1 + max(map(len, rows.columns)))  # no column has this name
+    slots = rows.sparkSession.createDataFrame(pa.table({slot: np.arange(size, dtype=np.int64), "shard": owner}))
+    keyed = rows.drop("shard").withColumn(slot, F.pmod(F.xxhash64(key), F.lit(size)))
+    return keyed.join(F.broadcast(slots), slot).drop(slot)
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:

@@ -1,5 +1,8 @@
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 
 from lakeweave.llm import sharding as H
 
@@ -34,3 +37,26 @@ def test_placement(spark, tmp_path):
 
 def test_empty_table(spark):
     assert H.place(spark.createDataFrame([], "doc_id long")).collect() == []
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([(1, 2, 3, 4)], "doc_id long, __slot int, slot_ int, shard int")
+    assert H.place(rows).columns[:3] == ["doc_id", "__slot", "slot_"] and H.place(rows).first()["__slot"] == 2
+
+
+def test_shards_equal_brute_force(spark):
+    ids = [0, 1, -5, 1 << 40, *range(1000, 1300)]
+    names = [f"s{i}" for i in range(7)]
+    table, turn = [None] * 1009, 0
+    orders = []
+    for name in names:  # each shard's whole order of preference
+        start, step = xxhash.xxh64_intdigest(name, seed=1) % 1009, xxhash.xxh64_intdigest(name, seed=2) % 1008 + 1
+        orders.append([(start + i * step) % 1009 for i in range(1009)])
+    while None in table:
+        slot = next(s for s in orders[turn % 7] if table[s] is None)
+        table[slot] = turn % 7
+        turn += 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {i: table[signed(xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)) % 1009] for i in ids}
+    got = H.place(spark.createDataFrame([(i,) for i in ids], "doc_id long"), shards=tuple(names), size=1009).collect()
+    assert {r.doc_id: r.shard for r in got} == want
