@@ -1,7 +1,7 @@
 """Language ID of mixed texts: script ranges, word scores, Viterbi with a switching penalty.
 
 Training takes a bounded sample of labelled rows (`per_lang` rows of each label, in expectation,
-chosen by hash) and counts hashed letter trigrams per language on the executors. With more labels
+chosen by a hash of doc_id, or of the text where that is null) and counts hashed letter trigrams per language on the executors. With more labels
 than `CELLS / BUCKETS`, trigrams share fewer buckets, so that the model keeps its size; no label is left out. A word's score for a language is the sum of its trigrams' log
 probabilities. Languages that training never saw in a word's script are no candidates for it.
 Over the words of a text, Viterbi picks the labelling with the highest total, each change of
@@ -138,7 +138,8 @@ def train_languages(labelled: DataFrame, per_lang: int = 400, least_share: float
     buckets = BUCKETS
     while buckets > LEAST_BUCKETS and buckets * labels > CELLS:
         buckets //= 2
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    of = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    spread = F.pmod(of, F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(small_side(sizes), F.col("lang") == F.col("of")).where(spread < F.col("share")).select("lang", "text")
     folded = F.when(F.col("key") >= 0, F.col("key") % buckets).otherwise(F.col("key"))
     counts = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", folded.alias("key")).agg(F.sum("n").alias("n"))

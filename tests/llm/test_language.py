@@ -77,3 +77,11 @@ def test_no_labels_and_empty_table(spark, tmp_path):
     assert run(spark, tmp_path / "a", []) == []
     got = run(spark, tmp_path / "b", [(1, "text", None, 0.1)])
     assert got[0].lang_pred == "und" and got[0].score == 0
+
+
+def test_rows_without_an_id_are_sampled_too(spark):
+    rows = [(None, f"some words here number {chr(97 + i % 26)} {chr(97 + i // 26)}", "en") for i in range(600)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = L.train_languages(labelled, per_lang=30)
+    every = L.train_languages(labelled, per_lang=10_000)
+    assert few.langs == every.langs == ["en"] and not np.allclose(few.scores, every.scores)
