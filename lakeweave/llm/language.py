@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 12.0) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array(m.langs, pa.string())
-        most = SLICE_BYTES * 64 // max(64, len(m.langs))
+        most = SLICE_BYTES // 2 * 64 // max(64, len(m.langs))
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text"), most):
                 got = letters_of(data, offsets)
