@@ -8,11 +8,13 @@ t (|A| + |B|) / (1 + t), so the two differ in at most d = (|A| + |B|) (1 - t) /
 Where the trees stand: boxes around vectors of unrelated texts widen in every coordinate, so one tree
 over all vectors would prune little. The first level therefore deals sets to cells. Sizes fall in bands
 at most 1/t wide; linked sets are in one band or in neighbouring ones, and each set visits its own band
-and the next. In a band, n-grams are dealt by hash into d + 1 + SPARE blocks. Linked sets agree wholly in
-at least 1 + SPARE blocks, so they share a cell (band, block, block content): one with content if either has at
-most SPARE empty blocks, else an empty one, which only sets with more empty blocks visit. No link is lost.
-Sets of one cell that meet in one Arrow batch are tied to the smallest of them there, and only that one goes on to
-the cell, so a hot cell gets a row for each batch at most.
+and the next. In a band, n-grams are dealt by hash into d + 1 + s blocks, s being `spare(d)`. Linked sets agree wholly in
+at least 1 + s blocks, so they share a cell (band, block, block content): if either has e <= s empty blocks,
+at least 1 + s - e with content, else an empty one, which only sets with more empty blocks visit. Of the cells that a set
+shares with any other, it therefore leaves the s - e most crowded (in one order for all sets): two linked sets still
+have one in common, while sets that share no more than a passage mostly leave all their cells. No link is lost.
+Of the sets of one cell that meet in one Arrow batch only the first goes on to the cell's place, the others to places
+of their own, so a hot cell's place gets a row for each batch at most.
 
 First, each set is paired with the first set of its cells; of the pairs that the bound leaves, one of each set
 is verified, then those that still join different components. Then every cell whose other sets still are of several
@@ -47,7 +49,6 @@ from .common import Scratch, mix64, numbered, small_side, table, text_slices, wo
 LEAST_GROUPS, MOST_GROUPS = 32, 8192
 #: The highest count a packed vector holds; it stands for any count from it on.
 MOST = 255
-SPARE = 2
 TILE = 1024
 #: Partners of a text that are compared with one copy of it.
 CHUNK = 256
@@ -89,10 +90,10 @@ def _sums(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def class_keys(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set."""
+    """Two independent hashes of each set; the first is even, as the last bit tells the band in rows of cells."""
     with np.errstate(over="ignore"):
         size = np.diff(at).astype(np.uint64)
-        return mix64(_sums(mix64(g ^ _ODD[3]), at) + size), mix64(_sums(mix64(g ^ _ODD[4]), at) ^ size)
+        return mix64(_sums(mix64(g ^ _ODD[3]), at) + size) & ~np.uint64(1), mix64(_sums(mix64(g ^ _ODD[4]), at) ^ size)
 
 
 def bands(t: float, most: int = 1 << 40) -> np.ndarray:
@@ -108,34 +109,55 @@ def differ_at_most(total, t: float):
     return np.floor(np.asarray(total) * (1 - t) / (1 + t) + 1e-6).astype(np.int64)
 
 
-def signatures(g: np.ndarray, at: np.ndarray, t: float, first_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set, cell) rows of all sets in a slice."""
+def spare(d):
+    """Blocks beyond d + 1: more of them are more rows, but let sets leave more of their crowded cells."""
+    return 2 + d // 4
+
+
+def _blocks(g: np.ndarray, at: np.ndarray, t: float, first_sizes: np.ndarray, up: int):
+    """(band, spare blocks, blocks, first slot) of each set, and (owner, slot) of each n-gram, in its band or the one above."""
     size = np.diff(at)
-    own_band = np.searchsorted(first_sizes, size, side="right") - 1
-    whos, cells = [], []
+    band = np.searchsorted(first_sizes, size, side="right") - 1 + up
+    d = differ_at_most(2 * (first_sizes[np.minimum(band + 1, len(first_sizes) - 1)] - 1), t)
+    blocks = np.where(size > 0, d + 1 + spare(d), 0)
+    start = np.cumsum(blocks) - blocks
+    who = np.repeat(np.arange(len(size)), size)
+    block = (mix64(g ^ _ODD[0]) >> np.uint64(11)) % blocks[who].astype(np.uint64)
+    return band, spare(d), blocks, start, who, start[who] + block.astype(np.int64)
+
+
+def needs(g: np.ndarray, at: np.ndarray, t: float, first_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that a set shares at least with any that it links with: in its own band, in the one above."""
+    out = []
+    for up in (0, 1):
+        _, extra, blocks, _, who, slot = _blocks(g, at, t, first_sizes, up)
+        filled = np.zeros(int(blocks.sum()), bool)
+        filled[slot] = True
+        n_empty = blocks - np.bincount(np.repeat(np.arange(len(blocks)), blocks), weights=filled, minlength=len(blocks)).astype(np.int64)
+        out.append(np.maximum(1 + extra - n_empty, 1))
+    return out[0], out[1]
+
+
+def signatures(g: np.ndarray, at: np.ndarray, t: float, first_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, cell, whether in the band above) rows of all sets in a slice."""
+    whos, cells, ups = [], [], []
     for up in (0, 1):
-        band = own_band + up
-        filled = size > 0
-        blocks = differ_at_most(2 * (first_sizes[np.minimum(band + 1, len(first_sizes) - 1)] - 1), t) + 1 + SPARE
-        blocks = np.where(filled, blocks, 0)
-        start = np.cumsum(blocks) - blocks
-        who = np.repeat(np.arange(len(size)), size)
-        block = (mix64(g ^ _ODD[0]) >> np.uint64(11)) % blocks[who].astype(np.uint64)
-        slot = start[who] + block.astype(np.int64)
+        band, extra, blocks, start, _, slot = _blocks(g, at, t, first_sizes, up)
         order = np.argsort(slot, kind="stable")
         total = int(blocks.sum())
         ends = np.searchsorted(slot[order], np.arange(total + 1))
         with np.errstate(over="ignore"):
             content = _sums(mix64(g[order] ^ _ODD[1]), ends)
-            owner = np.repeat(np.arange(len(size)), blocks)
+            owner = np.repeat(np.arange(len(blocks)), blocks)
             number = (np.arange(total) - start[owner]).astype(np.uint64)
             cell = mix64(content + mix64(number * _ODD[2] + band[owner].astype(np.uint64) * _ODD[3]))
         empty = np.diff(ends) == 0
-        n_empty = np.bincount(owner, weights=empty, minlength=len(size))
-        keep = ~empty | (n_empty > SPARE)[owner]
+        n_empty = np.bincount(owner, weights=empty, minlength=len(blocks))
+        keep = ~empty | (n_empty > extra)[owner]
         whos.append(owner[keep])
         cells.append(cell[keep])
-    return np.concatenate(whos), np.concatenate(cells)
+        ups.append(np.full(len(cells[-1]), up, np.uint64))
+    return np.concatenate(whos), np.concatenate(cells), np.concatenate(ups)
 
 
 def widths(size: np.ndarray) -> np.ndarray:
@@ -262,8 +284,9 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _rows(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """(row, doc_id, key, check, size, vector) of each row of (row, doc_id, text)."""
+def _rows(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
+    """(row, doc_id, key, check, size, vector, need_own, need_up) of each row of (row, doc_id, text)."""
+    first_sizes = bands(t)
 
     def run(batches):
         for batch in batches:
@@ -272,9 +295,10 @@ def _rows(docs: DataFrame, n: int, seed: int) -> DataFrame:
                 key, check = class_keys(g, at)
                 v, cut = count_vectors(g, at)
                 vector = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cut), pa.py_buffer(v)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), _signed(key), _signed(check), pa.array(np.diff(at)), vector], ["row", "doc_id", "key", "check", "size", "vector"])
+                need = [pa.array(x.astype(np.int32)) for x in needs(g, at, t, first_sizes)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("doc_id").slice(a, b - a), _signed(key), _signed(check), pa.array(np.diff(at)), vector, *need], ["row", "doc_id", "key", "check", "size", "vector", "need_own", "need_up"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, key long, check long, size long, vector binary")
+    return docs.mapInArrow(run, "row long, doc_id long, key long, check long, size long, vector binary, need_own int, need_up int")
 
 
 #: Rows of cells that a task holds before it ties those that met.
@@ -284,33 +308,30 @@ SENT = 50_000
 
 
 def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
-    """(place, cell, key, anchor) of every class; copies met again in a task are left out.
+    """(place, cell, code) of every class; copies met again in a task are left out. code: its key, plus 1 in the band above.
 
-    The sets that meet in a cell here: the first has place = cell (cell and anchor null), each other one the first as
-    anchor and a place of its own.
+    The first set that meets others in a cell here has a row with the cell as place (cell null); where there are
+    others, each of them, the first included, has a row with a place of its own.
     """
     first_sizes = bands(t)
 
-    def tied(cells, keys):
-        cell, key = np.concatenate(cells), np.concatenate(keys)
-        order = np.lexsort((key, cell))
-        cell, key = cell[order], key[order]
-        new = np.ones(len(cell), bool)
-        new[1:] = cell[1:] != cell[:-1]
-        again = ~new
-        again[1:] &= key[1:] != key[:-1]
-        anchor = key[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        keep = new | again
-        cell, key, anchor, again = cell[keep], key[keep], anchor[keep], again[keep]
-        place = np.where(again, mix64(cell ^ mix64(key)), cell)
-        null = pa.array(~again)
-        only = lambda x: pa.Array.from_buffers(pa.int64(), len(x), [pa.compute.invert(null).buffers()[1], pa.py_buffer(np.ascontiguousarray(np.where(again, x, 0)).view(np.int64))])
-        whole = pa.RecordBatch.from_arrays([_signed(place), only(cell), _signed(key), only(anchor)], ["place", "cell", "key", "anchor"])
+    def tied(cells, codes):
+        cell, code = np.concatenate(cells), np.concatenate(codes)
+        order = np.lexsort((code, cell))
+        cell, code = cell[order], code[order]
+        new = np.append(True, cell[1:] != cell[:-1])
+        other = new | np.append(True, code[1:] != code[:-1])
+        head = np.flatnonzero(new)
+        several = np.add.reduceat(other, head, dtype=np.int64) > 1
+        tie = other & several[np.cumsum(new) - 1]
+        null = np.append(np.ones(len(head), bool), np.zeros(int(tie.sum()), bool))
+        place = np.append(cell[head], mix64(cell[tie] ^ mix64(code[tie])))
+        whole = pa.RecordBatch.from_arrays([_signed(place), pa.array(np.append(cell[head], cell[tie]).view(np.int64), mask=null), _signed(np.append(code[head], code[tie]))], ["place", "cell", "code"])
         return (whole.slice(a, SENT) for a in range(0, whole.num_rows, SENT))
 
     def run(batches):
         seen: set[int] = set()
-        cells, keys, held = [], [], 0
+        cells, codes, held = [], [], 0
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 _, g, at = gram_sets(data, offsets, n, seed)
@@ -321,17 +342,26 @@ def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
                         fresh[i] = True
                         if len(seen) < 200_000:
                             seen.add(k)
-                who, cell = signatures(g, at, t, first_sizes)
+                who, cell, up = signatures(g, at, t, first_sizes)
                 keep = fresh[who]
-                cells.append(cell[keep]), keys.append(key[who[keep]])
+                cells.append(cell[keep]), codes.append(key[who[keep]] | up[keep])
                 held += len(cells[-1])
                 if held > HELD:
-                    yield from tied(cells, keys)
-                    cells, keys, held = [], [], 0
+                    yield from tied(cells, codes)
+                    cells, codes, held = [], [], 0
         if held:
-            yield from tied(cells, keys)
+            yield from tied(cells, codes)
+
+    return docs.select("text").mapInArrow(run, "place long, cell long, code long")
+
 
-    return docs.select("text").mapInArrow(run, "place long, cell long, key long, anchor long")
+def _uncrowded(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cell, key) of members (cell, code) without each set's most crowded cells: one less than it needs in a band."""
+    crowd = members.groupBy("cell").agg(F.count("*").alias("n")).withColumnRenamed("cell", "c")
+    counted = members.join(crowd, F.col("cell") == F.col("c")).select("cell", F.col("code").bitwiseAND(F.lit(-2)).alias("key"), F.col("code").bitwiseAND(F.lit(1)).alias("up"), "n")
+    named = counted.join(classes.select(F.col("key").alias("k"), "need_own", "need_up"), F.col("key") == F.col("k"))
+    place = F.row_number().over(Window.partitionBy("key", "up").orderBy(F.desc("n"), "cell"))
+    return named.withColumn("place", place).where(F.col("place") >= F.when(F.col("up") == 1, F.col("need_up")).otherwise(F.col("need_own"))).select("cell", "key")
 
 
 def _met(pairs: DataFrame, payload, columns: list[str]) -> DataFrame:
@@ -561,15 +591,16 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
     """
     t, work = percent / 100, Scratch(docs.sparkSession)
     docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = work.write("rows", _rows(docs, n, seed))
-    classes = work.write("classes", rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("check").alias("c1"), F.max("check").alias("c2")))
+    rows = work.write("rows", _rows(docs, n, seed, t))
+    classes = work.write("classes", rows.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("row").alias("first_row"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.max("need_own").alias("need_own"), F.max("need_up").alias("need_up")))
     if not classes.where("c1 <> c2").isEmpty():
         work.close()
         return join_components(docs.drop("row"), n, percent, seed + 1, groups)
-    by_place = Window.partitionBy("place").orderBy("key")
-    live = _cells(docs, n, seed, t).withColumn("first", F.first("key").over(by_place)).where("anchor is not null or first <> key")
-    live = live.select(F.coalesce("cell", "place").alias("cell"), "key", F.coalesce("anchor", "first").alias("anchor"))
-    members = work.write("members", live.select("cell", "key").union(live.select("cell", F.col("anchor").alias("key"))).distinct())
+    by_place = Window.partitionBy("place")
+    met = _cells(docs, n, seed, t).withColumns({"lo": F.min("code").over(by_place), "hi": F.max("code").over(by_place)}).where("cell is not null or lo <> hi")
+    met = work.write("met", met.select(F.coalesce("cell", "place").alias("cell"), "code").distinct())
+    members = work.write("members", _uncrowded(met, classes))
+    work.drop("met")
     first = members.groupBy("cell").agg(F.min("key").alias("anchor")).withColumnRenamed("cell", "c")
     live = work.write("live", members.join(first, F.col("cell") == F.col("c")).where("key <> anchor").select("cell", "key", "anchor"))
     stars = work.write("stars", live.select(F.col("anchor").alias("a"), F.col("key").alias("b")).distinct())

@@ -150,8 +150,11 @@ def test_linked_sets_share_a_cell():
         b[:k] = rng.integers(1, 1 << 62, k).astype(np.uint64)
         b = b[int(rng.integers(0, 2)) :] if n > 1 else b
         if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
-            who, cell = J.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), 0.8, first)
-            assert set(cell[who == 0].tolist()) & set(cell[who == 1].tolist())
+            g, at = np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])
+            who, cell, up = J.signatures(g, at, 0.8, first)
+            shared = [len(set(cell[(who == 0) & (up == x)].tolist()) & set(cell[(who == 1) & (up == y)].tolist())) for x, y in ((0, 0), (0, 1), (1, 0))]
+            need = J.needs(g, at, 0.8, first)
+            assert any(n >= max(need[x][0], need[y][1]) for n, (x, y) in zip(shared, ((0, 0), (0, 1), (1, 0)), strict=True))
 
 
 def test_components_of_long_chains_converge(spark):
