@@ -17,7 +17,7 @@ Of the sets of one cell that meet in one Arrow batch only the first goes on to t
 of their own, so a hot cell's place gets a row for each batch at most.
 
 First, each set is paired with the first set of its cells; of the pairs that the bound leaves, one of each set
-is verified, then those that still join different components. Then every cell whose other sets still are of several
+is verified, then one of each two components that are still apart, then all that are. Then every cell whose other sets still are of several
 components (one of all cells with the same sets) packs its vectors into R-trees: boxes of maxima, with the bound of summed
 minima, leaving boxes that cannot reach the overlap and boxes of one's own component. A cell is solved in
 tiles of about `TILE` sets and in pairs of tiles; a component of more sets has tiles of its own, which do not meet.
@@ -45,15 +45,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, numbered, small_side, table, text_slices, words_of
 
-#: Least and largest number of groups of a count vector; between them a quarter to half of the set's size.
-LEAST_GROUPS, MOST_GROUPS = 32, 8192
+#: Least and largest number of groups of a count vector; between them half to all of the set's size.
+LEAST_GROUPS, MOST_GROUPS = 128, 8192
 #: The highest count a packed vector holds; it stands for any count from it on.
 MOST = 255
 TILE = 1024
 #: Partners of a text that are compared with one copy of it.
 CHUNK = 256
 #: A tile gives all pairs that the bound leaves if these are at most so many for each set, else forests.
-FEW = 8
+FEW = 1
 #: Beyond so many forests, all pairs.
 FORESTS = 512
 #: Queries that walk a tree together.
@@ -162,7 +162,7 @@ def signatures(g: np.ndarray, at: np.ndarray, t: float, first_sizes: np.ndarray)
 
 def widths(size: np.ndarray) -> np.ndarray:
     """Number of groups of each set's count vector."""
-    return 1 << np.clip(np.frexp(size.astype(float))[1] - 2, LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1)
+    return 1 << np.clip(np.frexp(size.astype(float))[1] - 1, LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1)
 
 
 def count_vectors(g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,15 +254,21 @@ def forests(v: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.nda
     If there are many, they make at most `most` forests over the components: a pair goes to the first forest that does
     not yet join its ends, so what is left out has ends that every forest joins.
     """
-    tree, found = RTree(v[right], size[right]), []
+    tree, found, place = RTree(v[right], size[right]), [], np.zeros(len(v), np.int64)
+    place[left] = np.arange(len(left))
+    place[right] = np.arange(len(right))
     for a in range(0, len(left), TOGETHER):
         own = left[a : a + TOGETHER]
         if component[own].min() == component[own].max() == component[right].min() == component[right].max():
             continue
         q, x = tree.search(v[own], size[own], t)
         q, x = own[q], right[x]
-        keep = (component[q] != component[x]) & ((q < x) if left is right else True)
-        found.append((q[keep], x[keep]))
+        keep = component[q] != component[x]
+        if left is right:
+            keep &= place[q] > place[x]
+        q, x = q[keep], x[keep]
+        order = np.lexsort((place[x], place[q]))
+        found.append((q[order], x[order]))
     q, x = (np.concatenate([f[i] for f in found]) if found else left[:0] for i in (0, 1))
     if len(q) <= FEW * most * len(v) or most > FORESTS:
         return list(zip(q.tolist(), x.tolist(), strict=True)), False
@@ -485,7 +491,7 @@ def components(links: DataFrame, work: Scratch, known: DataFrame | None = None,
     so it goes in the next round: roots at least halve in two rounds, whatever the keys.
     """
     if known is not None:
-        links = _apart(links, known, root=True)
+        links = _apart(links, known, root=True).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     edges = _shortened(links)
     edges = work.write("edges", edges.union(edges.select("b", "a")).where("a <> b").distinct())
     state = work.write("reached", edges.select(F.col("a").alias("key")).distinct().withColumn("component", F.col("key")))
@@ -512,11 +518,11 @@ def components(links: DataFrame, work: Scratch, known: DataFrame | None = None,
 
 
 def _apart(pairs: DataFrame, comp: DataFrame, *more: str, root: bool = False) -> DataFrame:
-    """Pairs (a, b) whose ends are not yet in one component; root gives the components instead of the ends."""
+    """Pairs (a, b) whose ends are not yet in one component; root adds the components, root_a and root_b."""
     x, y = (comp.select(F.col("key").alias(f"k{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
     j = pairs.join(x, F.col("a") == F.col("ka"), "left").join(y, F.col("b") == F.col("kb"), "left")
     p, q = F.coalesce("ca", "a"), F.coalesce("cb", "b")
-    return j.where(p != q).select(*([p.alias("a"), q.alias("b")] if root else ["a", "b"]), *more)
+    return j.where(p != q).select("a", "b", *more, *([p.alias("root_a"), q.alias("root_b")] if root else []))
 
 
 def _open_cells(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -558,8 +564,11 @@ def _candidates(open_: DataFrame, sets: DataFrame, work: Scratch, t: float, most
                 sides = [batch.column(c)[i].values for c in batch.schema.names[1:]]
                 key, component, size = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("key", "component", "size"))
                 v = matrix(*_buffers(pa.concat_arrays([s.field("vector").cast(pa.large_binary()) for s in sides])))
-                every = np.arange(len(key))
-                left, right = (every, every) if len(sides) == 1 else (every[: len(sides[0])], every[len(sides[0]) :])
+                # By key, so that cells with much the same sets give much the same forests.
+                order, cut = np.argsort(key, kind="stable"), len(sides[0])
+                left = right = order
+                if len(sides) > 1:
+                    left, right = order[order < cut], order[order >= cut]
                 pairs, hidden = forests(v, size, component, left, right, t, most)
                 out += [(cell, min(key[x], key[y]), max(key[x], key[y])) for x, y in pairs]
                 if hidden:
@@ -618,10 +627,14 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
     # One pair of each set connects most; then only pairs of different components are left to verify.
     tested = work.write("tested", likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     comp = joined(tested)
-    apart = work.write("apart", _apart(likely, comp).join(tested, ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        comp = joined(apart, comp)
-        tested = work.write("tested", tested.union(apart))
+    for every in (False, True):
+        apart = work.write("apart", _apart(likely, comp, root=True).join(tested, ["a", "b"], "left_anti"))
+        if not every:
+            one = apart.groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p"))
+            apart = work.write("apart", one.select("p.a", "p.b"))
+        if not apart.isEmpty():
+            comp = joined(apart.select("a", "b"), comp)
+            tested = work.write("tested", tested.union(apart.select("a", "b")))
     # Each cell's first set has met all others there.
     open_, most = work.write("open", _open_cells(live.select("cell", "key"), comp)), 1
     work.drop("live", "likely")

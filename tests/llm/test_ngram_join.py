@@ -133,10 +133,10 @@ def test_folded_vectors_are_those_of_fewer_groups():
     for n in (0, 1, 31, 64, 500, 9000):
         g = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
         v, cut = J.count_vectors(g, np.array([0, len(g)]))
-        assert cut[-1] == len(v) == min(max(1 << max(n.bit_length() - 2, 0), J.LEAST_GROUPS), J.MOST_GROUPS) and v.sum(dtype=int) == len(g)
-        if len(v) > 32:
-            group = ((J.mix64(g ^ J._ODD[2]) >> np.uint64(7)) & np.uint64(31)).astype(int)
-            assert J._gathered(v, cut, np.array([0]), 32)[0].tolist() == np.minimum(np.bincount(group, minlength=32), 255).tolist()
+        assert cut[-1] == len(v) == min(max(1 << max(n.bit_length() - 1, 0), J.LEAST_GROUPS), J.MOST_GROUPS) and v.sum(dtype=int) == len(g)
+        if len(v) > 128:
+            group = ((J.mix64(g ^ J._ODD[2]) >> np.uint64(7)) & np.uint64(127)).astype(int)
+            assert J._gathered(v, cut, np.array([0]), 128)[0].tolist() == np.minimum(np.bincount(group, minlength=128), 255).tolist()
 
 
 def test_linked_sets_share_a_cell():
