@@ -107,10 +107,14 @@ def cell_name(cell: int, g: GridSettings, level: int | None = None) -> str:
     return f"{level:02d}_{g.edge(level):g}_({','.join(f'{c:g}' for c in cell_center(cell, g, level))})"
 
 
-def covered_cells(ps: Column, g: GridSettings, tau: float, level: int) -> Column:
-    """Ids of the level's cells that meet [ps - tau, ps + tau]; sound also outside the cube, as clamping keeps order."""
+def covered_cells(ps: Column, g: GridSettings, tau: float, level: int, hi: Column | None = None) -> Column:
+    """Ids of the level's cells that meet [ps - tau, ps + tau], or [ps - tau, hi + tau] of a box from ps to hi.
+
+    Sound also outside the cube, as clamping keeps order.
+    """
+    hi = ps if hi is None else hi
     most = F.lit((1 << level) - 1).cast("long")
-    axes = [F.sequence(axis_cell(F.get(ps, F.lit(k)) - tau, g, level), axis_cell(F.get(ps, F.lit(k)) + tau, g, level)) for k in range(g.dims)]
+    axes = [F.sequence(axis_cell(F.get(ps, F.lit(k)) - tau, g, level), axis_cell(F.get(hi, F.lit(k)) + tau, g, level)) for k in range(g.dims)]
     combos = F.transform(axes[0], lambda x: F.array(x))
     for a in axes[1:]:
         combos = F.flatten(_extend(combos, a))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ def distance_sq(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, t: s + t)
 
 
+#: Lengths up to which the terms of a distance are written out, for code generation.
+WRITTEN_OUT = 128
+
+
+def distance_sq_of(a: Column, b: Column, dim: int) -> Column:
+    """The same for vectors of a known length."""
+    if not 0 < dim <= WRITTEN_OUT:
+        return distance_sq(a, b)
+    d = [F.get(a, F.lit(k)).cast("double") - F.get(b, F.lit(k)).cast("double") for k in range(dim)]
+    return reduce(Column.__add__, [x * x for x in d])
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(distance_sq(a, b))
 

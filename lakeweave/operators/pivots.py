@@ -101,3 +101,9 @@ def select_pivots(x: np.ndarray, count: int, scale: int = 13, seed: int = 42) ->
 def select_best(x: np.ndarray, count: int, max_scale: int = 30, tries: int = 5, seed: int = 42) -> PivotChoice:
     """The choice with the largest extremity over scales and seeds."""
     return max((select_pivots(x, count, c, seed + i) for c in range(1, max_scale + 1) for i in range(tries)), key=lambda p: p.extremity)
+
+
+def rank_and_determinant(x: np.ndarray) -> tuple[int, float]:
+    """Rank of a matrix, and its determinant (nan if it is not square): tells whether pivots are independent."""
+    square = x.shape[0] == x.shape[1]
+    return int(np.linalg.matrix_rank(x)), float(np.linalg.det(x)) if square else float("nan")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import pruning as P
 from ..functions.grid import GridSettings, outside
 from ..functions.vectors import magnitude, mean
-from ..operators import evaluate, index, overlap, pivots, search, stats
+from ..operators import evaluate, index, overlap, pairs, pivots, search, stats
 from ..sources import lake as L
 
 TAU, RATIO = 1.2, "0.45"
@@ -62,22 +62,64 @@ def _pairs(spark, sf):
     return q.drop("q_values"), s.drop("s_values")
 
 
-def _per_pair(spark, sf, condition):
+def _per_pair(spark, sf, join, tau):
     q, s = _pairs(spark, sf)
-    return q.join(s, condition(F.col("q_ps"), F.col("s_ps"))).groupBy("q_set", "s_set").agg(F.count("*").alias("pairs"))
+    return join(q, "q_ps", s, "s_ps", PIVOTS, tau).groupBy("q_set", "s_set").agg(F.count("*").alias("pairs"))
 
 
-def _vector_cells(spark, sf, condition):
+def lemma3(spark, sf):
+    x, g = _both(spark, sf)
+    return search.candidate_pairs(x, x, g, SMALL_TAU).groupBy("q_set").agg(F.count("*").alias("cells"))
+
+
+def lemma4(spark, sf):
+    x, g = _both(spark, sf)
+    return search.candidate_cell_pairs(x, x, g, SMALL_TAU).groupBy("q_set").agg(F.count("*").alias("cell_pairs"))
+
+
+def lemma5(spark, sf):
     x, g = _indexed(spark, sf)
     q = x.select(F.col("set_id").alias("q_set"), F.col("ps").alias("q_ps"))
-    return q.join(index.zone_map(x, g), condition(F.col("q_ps"), F.col("lo"), F.col("hi"))).groupBy("q_set").agg(F.count("*").alias("cells"))
+    return pairs.sum_some(q, "q_ps", index.zone_map(x, g), "hi", PIVOTS, 1.5).groupBy("q_set").agg(F.count("*").alias("cells"))
 
 
-def _cell_cells(spark, sf, condition):
+def lemma6(spark, sf):
     x, g = _indexed(spark, sf)
-    q = index.zone_map(x, g, ("set_id", "cell_id")).select(F.col("set_id").alias("q_set"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
-    s = index.zone_map(x, g).select("lo", "hi")
-    return q.join(s, condition(F.col("q_lo"), F.col("q_hi"), F.col("lo"), F.col("hi"))).groupBy("q_set").agg(F.count("*").alias("cell_pairs"))
+    q = index.zone_map(x, g, ("set_id", "cell_id")).select(F.col("set_id").alias("q_set"), F.col("hi").alias("q_hi"))
+    return pairs.sum_some(q, "q_hi", index.zone_map(x, g).select("hi"), "hi", PIVOTS, 1.5).groupBy("q_set").agg(F.count("*").alias("cell_pairs"))
+
+
+def lakes(spark, sf, n=7):
+    """A lake of several tables: table pmod(pos, n)."""
+    return lake(spark, sf).withColumn("table_id", F.pmod("pos", F.lit(n)).cast("int"))
+
+
+def match_map_zero_rows(spark, sf):
+    x = lake(spark, sf)
+    m = search.match_map(search.similarity_counts(x, x, 0.9, exclude_self=True), x, x, zeros=True)
+    return m.select("q_set", "s_set", "q_size", "s_size", "matched", "pairs", "nooverlap", "mismatched")
+
+
+def query_counters(spark, sf):
+    x, g = _both(spark, sf)
+    return stats.query_counters(x, x, g, SMALL_TAU).drop("q_table")
+
+
+def cell_read(spark, sf):
+    """Vectors of the subtrees of three first-level cells."""
+    x, g = _both(spark, sf)
+    return index.read_tuples(index.build_index(x, g), [0, 3, 5], 1).select("cell_id", "set_id", "pos")
+
+
+def joinable_sets_index(spark, sf):
+    x, g = _both(spark, sf)
+    found = search.search(x, index.build_index(x, g), RATIO, tau=TAU, exclude_self=True)
+    return found.select("q_set", "s_set", "q_size", "s_size", "matched", "pairs", "nooverlap", "mismatched", "need", "joinable")
+
+
+def joinable_only_index(spark, sf):
+    x, g = _both(spark, sf)
+    return search.search(x, index.build_index(x, g), RATIO, tau=TAU, exclude_self=True, only_joinable=True).select("q_set", "s_set", "matched", "pairs")
 
 
 def _search(spark, sf, **options):
@@ -178,7 +220,14 @@ def _chosen(spark, sf, choice):
 QUERIES = {
     "joinable_sets": _search,
     "lake_info": lambda s, d: L.lake_info(lake(s, d)),
-    "lake_info_first_n": lambda s, d: L.lake_info(L.first_tables(lake(s, d), 1)),
+    "lake_info_first_n": lambda s, d: L.lake_info(L.first_tables(lakes(s, d), 3)),
+    "lake_info_tables": lambda s, d: L.lake_info(lakes(s, d)),
+    "set_catalog_tables": lambda s, d: L.set_catalog(lakes(s, d)),
+    "match_map_zero_rows": match_map_zero_rows,
+    "query_counters": query_counters,
+    "cell_read": cell_read,
+    "joinable_sets_index": joinable_sets_index,
+    "joinable_only_index": joinable_only_index,
     "set_catalog": lambda s, d: L.set_catalog(lake(s, d)),
     "query_set_selection": lambda s, d: L.select_queries(lake(s, d), 20, 60, 5),
     "nan_vectors": lambda s, d: L.nan_vectors(s.read.parquet(f"{d}/embeddings.parquet"), "embedding").agg(F.count("*").alias("rejected")),
@@ -193,13 +242,13 @@ QUERIES = {
     "inverted_index": lambda s, d: index.inverted_index(_indexed(s, d)[0]).drop("table_id"),
     "cell_zone_map": cell_zone_map,
     "quick_browse": quick_browse,
-    "lemma1_filter": lambda s, d: _per_pair(s, d, lambda q, x: P.point_filter(q, x, SMALL_TAU)),
-    "lemma1_weak_filter": lambda s, d: _per_pair(s, d, lambda q, x: P.point_filter_weak(q, x, SMALL_TAU)),
-    "lemma2_match": lambda s, d: _per_pair(s, d, lambda q, x: P.point_match(q, x, TAU)),
-    "lemma3_vector_cell_filter": lambda s, d: _vector_cells(s, d, lambda q, lo, hi: P.cell_filter(q, lo, hi, SMALL_TAU)),
-    "lemma4_cell_cell_filter": lambda s, d: _cell_cells(s, d, lambda ql, qh, lo, hi: P.cell_cell_filter(ql, qh, lo, hi, SMALL_TAU)),
-    "lemma5_vector_cell_match": lambda s, d: _vector_cells(s, d, lambda q, lo, hi: P.cell_match(q, hi, 1.5)),
-    "lemma6_cell_cell_match": lambda s, d: _cell_cells(s, d, lambda ql, qh, lo, hi: P.cell_cell_match(qh, hi, 1.5)),
+    "lemma1_filter": lambda s, d: _per_pair(s, d, pairs.within_all, SMALL_TAU),
+    "lemma1_weak_filter": lambda s, d: _per_pair(s, d, pairs.within_some, SMALL_TAU),
+    "lemma2_match": lambda s, d: _per_pair(s, d, pairs.sum_some, TAU),
+    "lemma3_vector_cell_filter": lemma3,
+    "lemma4_cell_cell_filter": lemma4,
+    "lemma5_vector_cell_match": lemma5,
+    "lemma6_cell_cell_match": lemma6,
     "lemma7_upper_bound": lemma7,
     "block_candidates": block_candidates,
     "similarity_pairs": similarity_pairs,
@@ -223,6 +272,7 @@ QUERIES = {
 _R = [f"(7 - CAST(greatest(0, least(7, floor(ps[{k + 1}] / (e / 8)))) AS BIGINT))" for k in range(PIVOTS)]
 _CELL = " + ".join(f"((({_R[k]} >> {LEVELS - 1 - b}) & 1) << {PIVOTS * (LEVELS - 1 - b) + PIVOTS - 1 - k})" for b in range(LEVELS) for k in range(PIVOTS))
 _LAKE = "lake AS (SELECT 0 AS t, label AS s, vec_id AS p, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
+_LAKES = f"{_LAKE}, lakes AS (SELECT CAST(p % 7 AS INTEGER) AS t, s, p, v FROM lake)"
 _PS = f"""WITH {_LAKE},
 piv AS (SELECT row_number() OVER (ORDER BY p) AS k, v FROM (SELECT * FROM lake ORDER BY p LIMIT {PIVOTS})),
 ext AS (SELECT max(list_distance(a.v, b.v)) AS e FROM piv a, piv b),
@@ -255,12 +305,28 @@ band AS (SELECT count(CASE WHEN {_and(_BAND)} THEN 1 END) AS band_pairs, count(C
 vc AS (SELECT count(CASE WHEN NOT {_or(lambda k: f"a.ps[{k}] + z.hi{k} <= {SMALL_TAU}")} THEN 1 END) AS candidate_cells, count(CASE WHEN {_or(lambda k: f"a.ps[{k}] + z.hi{k} <= {SMALL_TAU}")} THEN 1 END) AS matching_cells FROM ps a JOIN zones z ON {_BOX}),
 found AS (SELECT count(*) AS matching_pairs FROM lake a JOIN lake b ON pow(list_distance(a.v, b.v), 2) <= {SMALL_TAU} * {SMALL_TAU})
 """
+_ZMATCH = lambda q: _or(lambda k: f"{q}.ps[{k}] + z.hi{k} <= {SMALL_TAU}")
+_COUNTERS = f"""{_PS}, base AS (SELECT s, count(*) AS query_vectors FROM lake GROUP BY s),
+vc AS (SELECT a.s, count(CASE WHEN NOT {_ZMATCH('a')} THEN 1 END) AS candidate_cells, count(CASE WHEN {_ZMATCH('a')} THEN 1 END) AS matching_cells,
+  CAST(sum(CASE WHEN {_ZMATCH('a')} THEN n ELSE 0 END) AS BIGINT) AS whole_cell_pairs, CAST(sum(CASE WHEN {_ZMATCH('a')} THEN 0 ELSE n END) AS BIGINT) AS checked_pairs FROM ps a JOIN zones z ON {_BOX} GROUP BY a.s),
+band AS (SELECT a.s, {_ZMATCH('a')} AS whole, {_or(lambda k: f"a.ps[{k}] + b.ps[{k}] <= {SMALL_TAU}")} AS sure FROM ps a JOIN cells b ON {_and(_BAND)} JOIN zones z ON z.c = b.c),
+pc AS (SELECT s, count(CASE WHEN NOT whole THEN 1 END) AS lemma1_left, count(CASE WHEN NOT whole AND sure THEN 1 END) AS lemma2_accepted, count(CASE WHEN NOT whole AND NOT sure THEN 1 END) AS distances FROM band GROUP BY s),
+near AS (SELECT a.s, count(*) AS matching_pairs FROM lake a JOIN lake b ON pow(list_distance(a.v, b.v), 2) <= {SMALL_TAU} * {SMALL_TAU} GROUP BY a.s)
+SELECT base.s AS q_set, query_vectors, coalesce(candidate_cells, 0) AS candidate_cells, coalesce(matching_cells, 0) AS matching_cells, coalesce(whole_cell_pairs, 0) AS whole_cell_pairs, coalesce(checked_pairs, 0) AS checked_pairs, coalesce(lemma1_left, 0) AS lemma1_left, coalesce(lemma2_accepted, 0) AS lemma2_accepted, coalesce(distances, 0) AS distances, coalesce(matching_pairs, 0) AS matching_pairs
+FROM base LEFT JOIN vc USING (s) LEFT JOIN pc USING (s) LEFT JOIN near USING (s)"""
 _COLUMNS = " UNION ALL ".join(f"SELECT {i} AS t, {j} AS s, {c} AS value FROM {name} WHERE {c} IS NOT NULL" for i, (name, cols) in enumerate(STRINGS) for j, c in enumerate(cols))
 
 ORACLE = {
     "joinable_sets": f"{_matches(TAU)} SELECT {_FULL}, matched >= {_NEED(RATIO)} AS joinable FROM full_map",
     "lake_info": f"WITH {_LAKE} SELECT count(DISTINCT t) AS tables, count(DISTINCT (t, s)) AS sets, count(*) AS vectors, min(len(v)) AS min_dim, max(len(v)) AS max_dim FROM lake",
-    "lake_info_first_n": f"WITH {_LAKE} SELECT count(DISTINCT t) AS tables, count(DISTINCT (t, s)) AS sets, count(*) AS vectors, min(len(v)) AS min_dim, max(len(v)) AS max_dim FROM lake WHERE t IN (SELECT DISTINCT t FROM lake ORDER BY t LIMIT 1)",
+    "lake_info_first_n": f"WITH {_LAKES} SELECT count(DISTINCT t) AS tables, count(DISTINCT (t, s)) AS sets, count(*) AS vectors, min(len(v)) AS min_dim, max(len(v)) AS max_dim FROM lakes WHERE t IN (SELECT DISTINCT t FROM lakes ORDER BY t LIMIT 3)",
+    "lake_info_tables": f"WITH {_LAKES} SELECT count(DISTINCT t) AS tables, count(DISTINCT (t, s)) AS sets, count(*) AS vectors, min(len(v)) AS min_dim, max(len(v)) AS max_dim FROM lakes",
+    "set_catalog_tables": f"WITH {_LAKES} SELECT t AS table_id, s AS set_id, count(*) AS set_size FROM lakes GROUP BY ALL",
+    "match_map_zero_rows": f"{_matches(0.9)} SELECT x.s AS q_set, y.s AS s_set, x.n AS q_size, y.n AS s_size, coalesce(matched, 0) AS matched, coalesce(pairs, 0) AS pairs, x.n - coalesce(matched, 0) AS nooverlap, x.n * y.n - coalesce(pairs, 0) AS mismatched FROM size x CROSS JOIN size y LEFT JOIN map ON map.q_set = x.s AND map.s_set = y.s",
+    "query_counters": _COUNTERS,
+    "cell_read": f"{_PS} SELECT c AS cell_id, s AS set_id, p AS pos FROM cells WHERE c >> {PIVOTS * (LEVELS - 1)} IN (0, 3, 5)",
+    "joinable_sets_index": f"{_matches(TAU)} SELECT {_FULL}, matched >= {_NEED(RATIO)} AS joinable FROM full_map",
+    "joinable_only_index": f"{_matches(TAU)} SELECT q_set, s_set, matched, pairs FROM full_map WHERE matched >= {_NEED(RATIO)}",
     "set_catalog": f"WITH {_LAKE} SELECT t AS table_id, s AS set_id, count(*) AS set_size FROM lake GROUP BY ALL",
     "query_set_selection": f"WITH {_LAKE} SELECT t AS table_id, s AS set_id, count(*) AS set_size FROM lake GROUP BY t, s HAVING count(*) BETWEEN 20 AND 60 ORDER BY t, s LIMIT 5",
     "nan_vectors": "SELECT count(*) AS rejected FROM embeddings WHERE embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions import pruning as P
 from lakeweave.functions import vectors as V
 from lakeweave.functions.grid import GridSettings, cell_center, cell_id, cell_name, children, covered_cells, prefix
-from lakeweave.operators import evaluate, index, overlap, pivots, search, stats
+from lakeweave.operators import evaluate, index, overlap, pairs, pivots, run, search, stats
 from lakeweave.sources import lake as L
 from lakeweave.sources import sinks
 from lakeweave.streaming.search import search_stream
@@ -232,3 +232,76 @@ def test_stream_of_query_columns(spark, tmp_path):
     q.awaitTermination(120)
     want = search.search(lake.where("table_id = 1"), lake, "0.5", tau=0.9).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("tau", [0.0, 0.4, 1.1])
+def test_index_plan_equals_brute_force(spark, tau, tmp_path, monkeypatch):
+    rows, lake = random_lake(spark, 7)
+    g, want = random_grid(rows), brute(rows, tau)
+    index.write_index(index.with_cells(lake, g), g, str(tmp_path / "i"))
+    monkeypatch.setattr(search, "TILE", 5)
+    for i in (index.build_index(lake, g), index.open_index(spark, str(tmp_path / "i"))):
+        assert {tuple(r)[:5]: r["pairs"] for r in search.similarity_counts(lake, i, tau).collect()} == want
+        full = search.search(lake, i, "0.6", tau=tau, exclude_self=True).where("joinable").collect()
+        few = search.search(lake, i, "0.6", tau=tau, exclude_self=True, only_joinable=True).collect()
+        assert sorted(map(str, full)) == sorted(map(str, few))
+
+
+def test_stored_index_names_cells_to_the_scan(spark, tmp_path):
+    rows, lake = random_lake(spark, 8)
+    g = random_grid(rows)
+    index.write_index(index.with_cells(lake, g), g, str(tmp_path / "i"))
+    i = index.open_index(spark, str(tmp_path / "i"))
+    some = lake.where("pos < 3")
+    plan = search.similarity_counts(some, i, 0.05)._jdf.queryExecution().toString()
+    assert any("cell_l1#" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:])
+    cells = [r["cell_id"] for r in i.zones.orderBy("cell_id").limit(3).collect()]
+    want = {tuple(r) for r in index.with_cells(lake, g).where(F.col("cell_id").isin(cells)).select("table_id", "set_id", "pos").collect()}
+    assert {tuple(r) for r in index.read_cells(i, cells).select("table_id", "set_id", "pos").collect()} == want
+
+
+def test_many_queries_take_the_index_plan(spark, monkeypatch):
+    rows, lake = random_lake(spark, 9)
+    monkeypatch.setattr(search, "QUERY_BYTES", 500)
+    got = search.similarity_counts(lake, lake, 0.8)
+    assert {tuple(r)[:5]: r["pairs"] for r in got.collect()} == brute(rows, 0.8)
+    assert search.similarity_counts(lake, lake.where("false"), 0.8, random_grid(rows), "index").collect() == []
+
+
+@pytest.mark.parametrize(("seed", "tau"), [(1, 0.0), (2, 0.2), (3, 1.0)])
+def test_pair_joins_equal_conditions(spark, seed, tau):
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in rng.choice([0.0, 0.1, 0.3, 0.55, 0.8], 4) + rng.random() * (i % 2)]) for i in range(30)]
+    a, b = (spark.createDataFrame(rows, f"{n} int, {n}_ps array<double>") for n in "ab")
+    tests = [
+        (pairs.within_all, lambda p, q: all(abs(x - y) <= tau + P.EPS for x, y in zip(p, q, strict=True))),
+        (pairs.within_some, lambda p, q: any(abs(x - y) <= tau + P.EPS for x, y in zip(p, q, strict=True))),
+        (pairs.sum_some, lambda p, q: any(x + y <= tau for x, y in zip(p, q, strict=True))),
+    ]
+    for join, test in tests:
+        got = [tuple(r) for r in join(a, "a_ps", b, "b_ps", 4, tau).select("a", "b").collect()]
+        assert sorted(got) == sorted((i, j) for (i, p), (j, q) in itertools.product(rows, rows) if test(p, q))
+
+
+def test_overlap_of_common_values(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOLDERS", 3)
+    held = spark.createDataFrame([(0, s, "common") for s in range(20)] + [(0, 1, "x"), (0, 2, "x")], "table_id int, set_id int, value string")
+    got = {(r.q_set, r.s_set): r.overlap for r in overlap.exact_overlap(held).collect()}
+    assert got == {(a, b): 1 + ({a, b} == {1, 2}) for a in range(20) for b in range(20) if a != b}
+
+
+def test_runs_sinks_and_merge(spark, tmp_path):
+    rows, lake = random_lake(spark, 10)
+    path, queries = str(tmp_path / "i"), lake.where("table_id = 1")
+    run.build_and_search(path, lake, mode=run.BUILD)
+    done = run.build_and_search(path, queries=queries, mode=run.SEARCH, ratio="0.5", tau=0.9)
+    want = search.search(queries, lake, "0.5", tau=0.9).collect()
+    assert sorted(map(str, done.found.collect())) == sorted(map(str, want))
+    assert sum(r["joinable_sets"] for r in done.metrics.collect()) == sum(r["joinable"] for r in want)
+    for name in "ab":
+        sinks.write_log(done.found, str(tmp_path / name), 0.9, 0.5, 1.0)
+    sinks.merge_results(spark, [str(tmp_path / n / "query_results") for n in "ab"], str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 2 * sum(r["joinable"] for r in want)
+    with pytest.raises(ValueError, match="mode"):
+        run.build_and_search(path, lake, queries, mode=3)
+    assert pivots.rank_and_determinant(np.array([[2.0, 0.0], [0.0, 3.0]])) == (2, pytest.approx(6.0))
