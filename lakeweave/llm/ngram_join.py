@@ -56,6 +56,8 @@ CHUNK = 256
 FEW = 1
 #: Beyond so many forests, all pairs.
 FORESTS = 512
+#: Bytes of texts whose n-grams a task holds at once; an n-gram is several numbers of eight bytes for a while.
+SLICE = 1 << 19
 #: Queries that walk a tree together.
 TOGETHER = 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -296,7 +298,7 @@ def _rows(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
+            for a, b, data, offsets in text_slices(batch.column("text"), SLICE):
                 _, g, at = gram_sets(data, offsets, n, seed)
                 key, check = class_keys(g, at)
                 v, cut = count_vectors(g, at)
@@ -339,7 +341,7 @@ def _cells(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
         seen: set[int] = set()
         cells, codes, held = [], [], 0
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 _, g, at = gram_sets(data, offsets, n, seed)
                 key, _ = class_keys(g, at)
                 fresh = np.zeros(len(key), bool)
@@ -438,7 +440,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, work: Scrat
         hub = None
         for batch in batches:
             out, later, key = [], batch.column("later").to_pylist(), batch.column("key").to_pylist()
-            for first, _, data, offsets in text_slices(batch.column("text")):
+            for first, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 _, g, at = gram_sets(data, offsets, n, seed)
                 for i in range(len(at) - 1):
                     own = g[at[i] : at[i + 1]]
