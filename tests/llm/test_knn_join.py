@@ -54,3 +54,39 @@ def test_few_candidates_and_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], schema)
     assert K.knn_join(none, none).collect() == []
     assert K.knn_join(some, none).collect() == []
+
+
+def test_groups_follow_the_vectors_not_the_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(3000)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(24).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task for each file
+    asked = []
+    monkeypatch.setattr(spark.sparkContext.__class__, "broadcast", lambda self, v, f=spark.sparkContext.__class__.broadcast: asked.append(v) or f(self, v))
+    try:
+        got = K.op1_knn_join(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == sorted(brute(data, 5))
+    # 24 files give some 24 blocks for each of 14 cells; a query is sent at most twice.
+    members = asked[1][4]
+    assert sum(parts for _, parts in members) <= 2
+
+
+def test_large_cells_get_groups_of_their_own_and_small_ones_share():
+    got = K._groups({0: 10, 1: 95, 2: 250, 3: 60, 4: 40, 5: 1}, 100)
+    assert got[2][1] == 3 and [got[i][1] for i in (0, 1, 3, 4, 5)] == [1] * 5
+    taken = [g for first, parts in {got[i] for i in got} for g in range(first, first + parts)]
+    assert sorted(taken) == list(range(len(taken)))
+    load = {}
+    for i, n in {0: 10, 1: 95, 3: 60, 4: 40, 5: 1}.items():
+        load[got[i][0]] = load.get(got[i][0], 0) + n
+    assert max(load.values()) <= 100
+
+
+def test_values_beyond_two_bytes_and_single_precision(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [float(np.float32(v)) for v in rng.normal(size=5) * 10 ** float(rng.integers(-1, 5))]) for i in range(400)]
+    some = spark.createDataFrame(data, "vec_id long, vector array<float>")
+    got = K.knn_join(some, some.where("vec_id % 50 = 0")).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == sorted(brute(data, 5))
