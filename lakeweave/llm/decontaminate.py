@@ -39,6 +39,8 @@ WINDOW = 32
 RANK = 256
 #: So many of the most frequent terms are counted by window and multiplied; the rows of others are summed word by word.
 DENSE = 128
+#: Half windows whose rows are summed together.
+STEP = 512
 BLOCK = 20_000
 ANSWER_WORDS = 5
 LEAST_WORDS = 2
@@ -61,7 +63,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
                 w = words_of(data, offsets)
-                pair = np.unique(w.doc_of() * TERMS + _terms(w.hashes()))
+                # Sorting beats the hash table of np.unique() several times over.
+                pair = np.sort(w.doc_of() * TERMS + _terms(w.hashes()))
+                pair = pair[np.diff(pair, prepend=-1) != 0]
                 total += np.bincount(pair % TERMS, minlength=TERMS)
                 n += b - a
         if n:
@@ -248,6 +252,26 @@ def _space(members: list[int], latent: np.ndarray, basis: np.ndarray, idf: np.nd
     return slot, (basis[support] * idf[support][:, None]).astype(np.float32), latent / np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None], members
 
 
+def add_rows(y: np.ndarray, rows: np.ndarray, own: np.ndarray, group: np.ndarray) -> None:
+    """y[g] += the sum of rows[own] over the places of group g; group is in order.
+
+    The first rows of all groups of a step are added, then the second ones of those that have two, and so on, the
+    longest groups standing first: each addition is one of whole matrices.
+    """
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cut, len(group)))
+    order = np.argsort(-size, kind="stable")
+    next_ = np.empty((STEP, rows.shape[1]), rows.dtype)
+    for a in range(0, len(order), STEP):
+        first, n = cut[order[a : a + STEP]], size[order[a : a + STEP]]
+        total = rows[own[first]]
+        for r in range(1, int(n[0])):
+            m = int(np.searchsorted(-n, -r))  # groups of more than r places
+            np.take(rows, own[first[:m] + r], axis=0, out=next_[:m], mode="clip")
+            total[:m] += next_[:m]
+        y[group[first]] += total
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """One 64-bit hash for each run of n word hashes."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
@@ -356,12 +380,7 @@ def _search(docs, block, spaces, exact, idf, cosine, near, paraphrase, answer, s
                         counts = np.bincount(at[often] * wide + own[often], minlength=total * wide).astype(np.float32)
                         y[:-1] = counts.reshape(total, wide) @ weighted[:wide]
                     used = np.flatnonzero(own >= wide)
-                    if len(used):
-                        group = at[used]
-                        cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-                        for a in range(0, len(cut), 4096):
-                            lo, hi = cut[a], cut[a + 4096] if a + 4096 < len(cut) else len(used)
-                            y[group[cut[a : a + 4096]]] += np.add.reduceat(weighted[own[used[lo:hi]]], cut[a : a + 4096] - lo, axis=0)
+                    add_rows(y, weighted, own[used], at[used])
                     # No cosine exceeds the share of a window that lies in the latent space.
                     y[:-1] += np.where(with_next[:, None], y[1:], 0)
                     open_ = np.flatnonzero(np.einsum("ij,ij->i", y[:-1], y[:-1]) >= (cosine * length) ** 2)

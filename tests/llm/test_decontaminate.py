@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -134,3 +135,38 @@ def test_empty_tables(spark, tmp_path):
     assert D.op4_decontaminate(spark, str(tmp_path / "a")).collect() == []
     write(spark, tmp_path / "b", [(1, "text")], [])
     assert D.op4_decontaminate(spark, str(tmp_path / "b")).collect() == []
+
+
+def test_document_frequencies_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{j}" for j in range(400)], k=rng.randrange(300))) for _ in range(60)] + [None, "", "w1 W1 w1"]
+    got, n = D.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    term = lambda x: int(D._terms(D.words_of(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).hashes())[0])
+    want = np.zeros(D.TERMS, np.int64)
+    for t in texts:
+        for x in {term(x) for x in (t or "").lower().split()}:
+            want[x] += 1
+    assert n == len(texts) and np.array_equal(got, want)
+
+
+def test_sums_of_rows_equal_brute_force_and_cost_less_than_reduceat():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(4000, D.RANK)).astype(np.float32)
+    size = rng.integers(0, 17, 8000)
+    group, own = np.repeat(np.arange(8000), size), rng.integers(0, 4000, size.sum()).astype(np.int32)
+    y, want = np.ones((8000, D.RANK), np.float32), np.ones((8000, D.RANK))
+    for g, i in zip(group[:5000].tolist(), own[:5000].tolist(), strict=True):
+        want[g] += rows[i]
+    D.add_rows(y, rows, own[:5000], group[:5000])
+    assert np.allclose(y, want, atol=1e-4)
+    D.add_rows(y, rows, own[:0], group[:0])
+    assert np.allclose(y, want, atol=1e-4)
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    plain = min(seconds(lambda: np.add.reduceat(rows[own], cut, axis=0)) for _ in range(3))
+    assert min(seconds(lambda: D.add_rows(y, rows, own, group)) for _ in range(3)) < plain / 2
