@@ -22,8 +22,11 @@ components (one of all cells with the same sets) packs its vectors into R-trees:
 minima, leaving boxes that cannot reach the overlap and boxes of one's own component. A cell is solved in
 tiles of about `TILE` sets and in pairs of tiles; a component of more sets has tiles of its own, which do not meet.
 Of the pairs that the bound leaves, a tile gives a forest over its components, not all pairs. What verification
-then refuses may have hidden others, so cells with refused and hidden pairs are solved again, with ever more forests,
-until nothing is hidden.
+then refuses may have hidden others, so cells with refused and hidden pairs are solved again, until nothing is hidden. In a large
+group of near copies the bound leaves very many pairs that are no links, in most of the group's cells. From the second time on sets
+therefore bring `marks` of all their n-grams, and a tile counts the marks that two sets share before it takes a pair: its
+forest is of links but for clashes of marks, so a cell gives no more rows than it has components. Should a clash be refused, there
+are ever more forests.
 
 Verification sends a text once for each `CHUNK` of its partners, and reads them one after another.
 
@@ -58,6 +61,12 @@ FEW = 1
 FORESTS = 512
 #: Bytes of texts whose n-grams a task holds at once; an n-gram is several numbers of eight bytes for a while.
 SLICE = 1 << 19
+#: Bits of a mark. Two sets share at least as many marks as n-grams.
+MARK_BITS = 24
+#: N-grams for which a set counts once among the TILE of a tile when sets bring their marks.
+MARKS = 4096
+#: Marks that are looked up at once.
+LOOKED_UP = 1 << 20
 #: Queries that walk a tree together.
 TOGETHER = 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -250,11 +259,33 @@ class RTree:
         return q, self.order[at[x]]
 
 
-def forests(v: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, t: float, most: int) -> tuple[list[tuple[int, int]], bool]:
+class Marks:
+    """Marks of sets, one after another, and their offsets."""
+
+    def __init__(self, marks: np.ndarray, offsets: np.ndarray):
+        self.marks, self.offsets, self.own = marks, offsets, np.zeros(1 << MARK_BITS, bool)
+
+    def shared(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Marks of each of others that `one` has, too: no fewer than the n-grams they share."""
+        mine = self.marks[self.offsets[one] : self.offsets[one + 1]]
+        self.own[mine] = True
+        out, count = [], self.offsets[others + 1] - self.offsets[others]
+        part = (np.cumsum(count) - count) // LOOKED_UP
+        for a in np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(others) else []:
+            n = count[a : a + int((part == part[a]).sum())]
+            start = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(self.offsets[others[a : a + len(n)]] - start, n)
+            out.append(np.add.reduceat(self.own[self.marks[at]], start, dtype=np.int64))
+        self.own[mine] = False
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def forests(v: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, t: float, most: int, marks: Marks | None = None) -> tuple[list[tuple[int, int]], bool]:
     """Pairs (of left, of right) of different components that the bound leaves, and whether pairs were left out.
 
     If there are many, they make at most `most` forests over the components: a pair goes to the first forest that does
-    not yet join its ends, so what is left out has ends that every forest joins.
+    not yet join its ends, so what is left out has ends that every forest joins. With marks there always are forests, of pairs
+    that share enough of them.
     """
     tree, found, place = RTree(v[right], size[right]), [], np.zeros(len(v), np.int64)
     place[left] = np.arange(len(left))
@@ -272,20 +303,24 @@ def forests(v: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.nda
         order = np.lexsort((place[x], place[q]))
         found.append((q[order], x[order]))
     q, x = (np.concatenate([f[i] for f in found]) if found else left[:0] for i in (0, 1))
-    if len(q) <= FEW * most * len(v) or most > FORESTS:
+    if not len(q) or marks is None and len(q) <= FEW * most * len(v) or most > FORESTS:
         return list(zip(q.tolist(), x.tolist(), strict=True)), False
     start = np.unique(component, return_inverse=True)[1].ravel()
     labels = [start.copy() for _ in range(most)]
-    last, pairs = labels[-1], []
+    last, pairs, refused = labels[-1], [], 0
     cut = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(q)], strict=True):
         one, hits = int(q[a]), x[a:b]
+        if marks is not None:
+            hidden = len(hits) - len(hits := hits[last[hits] != last[one]])
+            hits = hits[marks.shared(one, hits) >= t * (size[one] + size[hits]) / (1 + t) - 1e-6]
+            refused += b - a - hidden - len(hits)
         while len(hits := hits[last[hits] != last[one]]):
             own = next(lab for lab in labels if lab[one] != lab[hits[0]])
             own[own == own[hits[0]]] = own[one]
             pairs.append((one, int(hits[0])))
             hits = hits[1:]
-    return pairs, len(pairs) < len(q)
+    return pairs, len(pairs) + refused < len(q)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -309,6 +344,21 @@ def _rows(docs: DataFrame, n: int, seed: int, t: float) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, key long, check long, size long, vector binary, need_own int, need_up int")
 
 
+def _marked(docs: DataFrame, sets: DataFrame, n: int, seed: int) -> DataFrame:
+    """(key, size, vector, marks) of the sets of docs (text), one of each key: marks are four bytes for each n-gram."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
+                _, g, at = gram_sets(data, offsets, n, seed)
+                key, _ = class_keys(g, at)
+                marks = (mix64(g ^ _ODD[2]) >> np.uint64(64 - MARK_BITS)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer(4 * at), pa.py_buffer(marks)]).cast(pa.binary())], ["k", "marks"])
+
+    marked = docs.select("text").mapInArrow(run, "k long, marks binary")
+    return sets.join(marked, F.col("key") == F.col("k")).select("key", "size", "vector", "marks")
+
+
 #: Rows of cells that a task holds before it ties those that met.
 HELD = 250_000
 #: Rows of a batch that goes back to the JVM.
@@ -537,8 +587,8 @@ def _open_cells(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _tiles(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cell, own, part, lo, hi, m) of open cells: m lists about TILE sets; own is the component of tiles with only one."""
-    by = open_.groupBy("cell", "component").agg(F.count("*").alias("n"))
+    """(cell, own, part, lo, hi, m) of open cells: m lists sets of about TILE weight; own is the component of tiles with only one."""
+    by = open_.groupBy("cell", "component").agg(F.sum("weight").alias("n"))
     small = F.when(F.col("n") <= TILE, F.col("n")).otherwise(0)
     rest = by.groupBy("cell").agg(F.sum(small).alias("rest")).withColumnRenamed("cell", "c2")
     parts = by.join(rest, F.col("cell") == F.col("c2")).select(
@@ -551,13 +601,18 @@ def _tiles(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _listed(open_: DataFrame, sets: DataFrame, *by: str) -> DataFrame:
-    """Components' range and members m with their vectors of each group."""
-    full = open_.join(sets.select(F.col("key").alias("k"), "size", "vector"), F.col("key") == F.col("k"))
-    return full.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("key", "component", "size", "vector")).alias("m"))
+    """Components' range and members m with their vectors, and marks if there are any, of each group."""
+    more = [c for c in sets.columns if c != "key"]
+    full = open_.join(sets.select(F.col("key").alias("k"), *more), F.col("key") == F.col("k"))
+    return full.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("key", "component", *more)).alias("m"))
 
 
 def _candidates(open_: DataFrame, sets: DataFrame, work: Scratch, t: float, most: int) -> DataFrame:
     """(cell, a, b) that tiles of open cells, and pairs of tiles of a cell, leave; a row without a pair tells that pairs were left out."""
+    with_marks = "marks" in sets.columns
+
+    def joined(sides, name):
+        return pa.concat_arrays([s.field(name).cast(pa.large_binary()) for s in sides])
 
     def run(batches):
         for batch in batches:
@@ -565,20 +620,29 @@ def _candidates(open_: DataFrame, sets: DataFrame, work: Scratch, t: float, most
             for i, cell in enumerate(batch.column("cell").to_pylist()):
                 sides = [batch.column(c)[i].values for c in batch.schema.names[1:]]
                 key, component, size = (np.concatenate([s.field(c).to_numpy() for s in sides]) for c in ("key", "component", "size"))
-                v = matrix(*_buffers(pa.concat_arrays([s.field("vector").cast(pa.large_binary()) for s in sides])))
+                v = matrix(*_buffers(joined(sides, "vector")))
+                marks = None
+                if with_marks:
+                    data, at = _buffers(joined(sides, "marks"))
+                    marks = Marks(data[at[0] : at[-1]].view(np.uint32), (at - at[0]) // 4)
                 # By key, so that cells with much the same sets give much the same forests.
                 order, cut = np.argsort(key, kind="stable"), len(sides[0])
                 left = right = order
                 if len(sides) > 1:
                     left, right = order[order < cut], order[order >= cut]
-                pairs, hidden = forests(v, size, component, left, right, t, most)
+                pairs, hidden = forests(v, size, component, left, right, t, most, marks)
                 out += [(cell, min(key[x], key[y]), max(key[x], key[y])) for x, y in pairs]
                 if hidden:
                     out.append((cell, None, None))
             yield pa.RecordBatch.from_arrays([pa.array([None if r[k] is None else int(r[k]) for r in out], pa.int64()) for k in range(3)], ["cell", "a", "b"])
 
     schema = "cell long, a long, b long"
-    large = work.write("large", open_.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select(F.col("cell").alias("l")))
+    if with_marks:
+        weight = sets.select(F.col("key").alias("k"), F.ceil(F.col("size") / F.lit(MARKS)).alias("weight"))
+        open_ = work.write("weighed", open_.join(weight, F.col("key") == F.col("k")).drop("k"))
+    else:
+        open_ = open_.withColumn("weight", F.lit(1).cast("long"))
+    large = work.write("large", open_.groupBy("cell").agg(F.sum("weight").alias("n")).where(F.col("n") > TILE).select(F.col("cell").alias("l")))
     if large.isEmpty():
         return _listed(open_, sets, "cell").select("cell", "m").mapInArrow(run, schema)
     is_large = F.col("cell") == F.col("l")
@@ -642,7 +706,7 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
     work.drop("live", "likely")
     while not open_.isEmpty():
         found = work.write("found", _candidates(open_, sets, work, t, most))
-        work.drop("tiles")
+        work.drop("tiles", "weighed")
         fresh = work.write("fresh", found.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             comp = joined(fresh, comp)
@@ -652,7 +716,11 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, seed: int =
         failed = _apart(found.where("a is not null"), comp, "cell").select(F.col("cell").alias("f")).distinct()
         again = hidden.join(failed, F.col("h") == F.col("f"), "left_semi")
         open_ = work.write("open", _open_cells(open_.select("cell", "key").join(again, F.col("cell") == F.col("h"), "left_semi"), comp))
-        most *= 8
+        if "marks" in sets.columns:
+            most *= 8
+        elif not open_.isEmpty():
+            chosen = work.write("chosen", classes.join(open_.select("key").distinct(), "key", "left_semi").select("first_row"))
+            sets = work.write("sets", _marked(docs.join(small_side(chosen), F.col("row") == F.col("first_row")), sets, n, seed))
     named = comp.select(F.col("key").alias("k"), "component")
     own = classes.select("key", "least").join(named, F.col("key") == F.col("k"), "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")

@@ -128,6 +128,58 @@ def test_forests_join_what_all_pairs_join(monkeypatch, cut):
         assert hidden or {frozenset(p) for p in some} == {frozenset(p) for p in every}
 
 
+def test_forests_with_marks_are_of_links(monkeypatch):
+    monkeypatch.setattr(J, "LOOKED_UP", 3000)
+    rng = np.random.default_rng(7)
+    base = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < rng.choice([0.02, 0.06]), rng.integers(1, 1 << 62, 300).astype(np.uint64), base)) for _ in range(150)]
+    g, at = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    marks = J.Marks((g >> np.uint64(8) & np.uint64((1 << J.MARK_BITS) - 1)).astype(np.uint32), at)
+    v, size = J.matrix(*J.count_vectors(g, at)), np.diff(at)
+    links = {(x, y) for x in range(150) for y in range(150) if x > y and J.linked(len(np.intersect1d(sets[x], sets[y])), size[x] + size[y], 90)}
+    every = np.arange(150)
+    bounded, _ = J.forests(v, size, every, every, every, 0.9, J.FORESTS + 1)
+    assert links < set(bounded)
+    for left, right in ((every, every), (every[:70], every[70:])):
+        pairs, hidden = J.forests(v, size, every, left, right, 0.9, 1, marks)
+        own = {p for p in links if left is right or (p[0] >= 70) != (p[1] >= 70)}
+
+        def joined(found):
+            label = every.copy()
+            for a, b in found:
+                label[label == label[a]] = label[b]
+            return len(set(label.tolist()))
+
+        assert {(max(p), min(p)) for p in pairs} <= own and joined(pairs) == joined(own) == 150 - len(pairs) and hidden == (len(pairs) < len(own))
+    assert J.forests(v, size, np.zeros(150, int), every, every, 0.9, 1, marks) == ([], False)
+
+
+def test_rows_of_cells_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Not with its square: most pairs of the group are no links, but the vectors' bound leaves them in most of its cells."""
+    seen, apart = [], J._apart
+
+    def counted(pairs, *more, **named):
+        seen.append(pairs.count())
+        return apart(pairs, *more, **named)
+
+    monkeypatch.setattr(J, "_apart", counted)
+    made = []
+    for count in (250, 1000):
+        rng = random.Random(8)
+        base, out = [f"w{i}" for i in range(150)], []
+        for _ in range(count):
+            w, at = list(base), rng.randrange(100)
+            for i in (*range(at, at + 9), *rng.sample(range(150), rng.randint(0, 2))):
+                w[i] = f"c{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+        seen.clear()
+        data = list(enumerate(out))
+        got = J.join_components(spark.createDataFrame(data, "doc_id long, text string").repartition(6), 5, 80).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(data, 5, 80)
+        made.append(sum(seen))
+    assert made[1] <= 8 * made[0], made
+
+
 def test_folded_vectors_are_those_of_fewer_groups():
     rng = np.random.default_rng(5)
     for n in (0, 1, 31, 64, 500, 9000):
